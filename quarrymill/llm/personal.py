@@ -3,7 +3,7 @@
 1. One scan of the texts extracts candidate mentions by generous shapes, each with its instance nodes (the words of
    a name, the shape of a number, the street and the form of an address) and its pattern nodes (what stands left and right).
    Seed entities are mentions that announce themselves: signed-off or author trailers, numbers after the name
-   of an identity document, numbers with a country prefix, a house number before a street with a common ending.
+   of an identity document or a word for telephone, numbers with a country prefix, a house number before a street with a common ending.
 2. Mentions are counted into a graph of patterns and instances. In every round Spark scores each node by the share
    of its mentions that are accepted so far, and accepted nodes accept further mentions: patterns induced from
    the seeds find new names and number formats, and these find new patterns.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.session import cut, write_once
 
-ROUNDS = 4
+ROUNDS = 5
 #: Accepted nodes of up to this many rows (about 40 bytes each) are broadcast.
 BROADCAST_NODES = 200_000
 
@@ -67,13 +67,14 @@ _NUMBER = re.compile(
     r"(?:[ ]?(?:ext\.?|x)[ ]?[0-9]{1,5})?(?![\w@%])"
 )
 _KEYED = re.compile(rf"(?:{_IDENTITY})\s*[:=#]?\s*[\"']?$", re.I)
-_NAME = re.compile(rf"(?<![\w'’@%\-])({_PARTICLE}{{0,2}}{_CAP})(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w'’@]))")
-_INITIAL = re.compile(rf"(?<![\w.'’@%\-])({_UP})\.[ ](?:{_UP}\.[ ])?({_PARTICLE}{{0,2}}{_CAP})(?![\w'’@])")
+_CALLED = re.compile(r"(?<!\w)(?:tel(?:ephone)?|phone|fax|mobile|cell|call)(?:\s+(?:number|no))?\s*[.:=#]?\s*[\"']?$", re.I)
+_NAME = re.compile(rf"(?<![\w@%\-])(?<!\w['’])({_PARTICLE}{{0,2}}{_CAP})(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w))")
+_INITIAL = re.compile(rf"(?<![\w.@%\-])(?<!\w['’])({_UP})\.[ ](?:{_UP}\.[ ])?({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w)")
 _TRAILED = re.compile(rf"(?:{_TRAILERS})\s*(?:(?:Dr|Prof|Mr|Mrs|Ms)\.\s)?(?:{_UP}\.\s)?$", re.I)
 _BEFORE = re.compile(
     rf"(?<![\w.\-/:@])([0-9]{{1,4}}[a-z]?)[ ](?:([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?({_CAP}(?:[ ]{_CAP}){{0,3}})(\.?)"
 )
-_AFTER = re.compile(rf"(?:(?<!\w)([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?(?<![\w'’])({_CAP}(?:[ ]{_CAP}){{0,2}})(\.?)[ ]([0-9]{{1,4}}[a-z]?)(?![\w.\-/:])")
+_AFTER = re.compile(rf"(?:(?<!\w)([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?(?<!\w)(?<!\w['’])({_CAP}(?:[ ]{_CAP}){{0,2}})(\.?)[ ]([0-9]{{1,4}}[a-z]?)(?![\w.\-/:])")
 _COMPOUND = re.compile(rf"^(.{{3,}}?)(?:[ \-])?({_STREET_ENDINGS})$", re.I)
 _STREET = re.compile(rf"^(?:{_STREET_WORDS})$", re.I)
 _PREFIX = re.compile(rf"^(?:{_STREET_PREFIXES})$", re.I)
@@ -151,6 +152,8 @@ def mentions(text: str) -> list[tuple]:
         shape = re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", re.sub(r"[ ]?(?:ext\.?|x)[ ]?[0-9]+$", "", s)))
         if _KEYED.search(text, max(low, a - 40), a):
             seed = "id_number"
+        elif 7 <= digits <= 15 and _CALLED.search(text, max(low, a - 40), a):
+            seed = "phone"
         elif re.match(r"(?:\+|00)[1-9][0-9]{0,2}[ .\-(]|\+[1-9][0-9]{9,13}$", s) and digits >= 9:
             seed = "phone"
         else:
@@ -218,9 +221,9 @@ def _maybe_broadcast(nodes: DataFrame) -> DataFrame:
 
 #: A node is accepted by its share of accepted mentions and their number of different surroundings: instances, patterns,
 #: and instances by the share of mentions whose other instance is accepted.
-INSTANCE_SHARE, INSTANCE_LEAST, NUMBER_LEAST = 0.1, 1, 3
+INSTANCE_SHARE, INSTANCE_LEAST, NUMBER_LEAST = 0.1, 1, 2
 PARTNER_SHARE, PARTNER_LEAST = 0.25, 3
-PATTERN_SHARE, PATTERN_LEAST = 0.4, 5
+PATTERN_SHARE, PATTERN_LEAST = 0.4, 3
 #: Least share of a pattern's accepted mentions that are of its most frequent kind.
 PURE = 0.9
 
@@ -299,7 +302,8 @@ class Bootstrap:
         context = F.col("kind_l").isNotNull() | F.col("kind_r").isNotNull()
         by_initial = (F.col("a") == "") & F.col("kind_b").isNotNull()
         pair = F.when(both | by_initial | (one & context), F.col("graph"))
-        number = F.coalesce("kind_a", "kind_b", "kind_l", "kind_r")
+        compact = F.when(F.col("kind_b") == "id_number", F.col("kind_b"))  # telephone numbers are written with their blanks
+        number = F.coalesce("kind_a", compact, "kind_l", "kind_r")
         return F.when(F.col("graph") == "number", number).otherwise(pair)
 
     def _accept(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
