@@ -136,21 +136,21 @@ def with_duplicates(rows: DataFrame, schema: Schema, policy: Policy) -> DataFram
         # personal values are hashed before they are shuffled
         key = F.sha2(F.col(c.name).cast("string"), 256) if c.pii and policy.mask_pii else F.col(c.name)
         keyed = rows.withColumn("_key", key)
-        groups = duplicate_groups(keyed.select(ROW, "_key"), ["_key"])
-        first = keyed.select(F.col(ROW).alias("first_row"), F.col("_text")[c.name].alias("_first_text"))
-        groups = groups.join(first, "first_row").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        groups = duplicate_groups(keyed.select(ROW, "_key"), ["_key"]).toDF("_key", "_members", "_first")
+        first = keyed.select(F.col(ROW).alias("_first"), F.col("_text")[c.name].alias("_first_text"))
+        groups = groups.join(first, "_first").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = keyed.withColumn("_salt", F.pmod(F.col(ROW), F.lit(SALTS)).cast("int"))
         issue = _issue(
-            F.col("members").isNotNull(),
+            F.col("_members").isNotNull(),
             c,
             "unique",
-            F.concat(F.lit("value occurs in "), F.col("members").cast("string"), F.lit(" rows")),
+            F.concat(F.lit("value occurs in "), F.col("_members").cast("string"), F.lit(" rows")),
             F.col("_first_text"),
             policy,
         )
         rows = (
             salted.join(groups, ["_key", "_salt"], "left")
-            .withColumn("_issues", F.when(F.col("members").isNull(), F.col("_issues")).otherwise(F.concat("_issues", F.array(issue))))
+            .withColumn("_issues", F.when(F.col("_members").isNull(), F.col("_issues")).otherwise(F.concat("_issues", F.array(issue))))
             .select(*rows.columns)
         )
     return rows
@@ -185,7 +185,7 @@ def summary(checked: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         F.count_if(F.size("_issues") == 0).alias("valid"),
         bad.alias("quarantined"),
-        (bad.cast("double") / F.count("*")).alias("error_rate"),
+        F.when(F.count("*") > 0, F.try_divide(bad.cast("double"), F.count("*"))).alias("error_rate"),
     )
 
 
