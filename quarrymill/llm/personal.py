@@ -47,7 +47,8 @@ _STREET_ENDINGS = "strasse|straße|str|weg|gasse|allee|platz|ufer|vej|gade|gatan
 _STREET_PREFIXES = "rue|calle|via|avenida|rua|avenue|boulevard|chemin|place|plaza|piazza|ulica|ul"
 _TRAILERS = r"signed-off-by:|co-authored-by:|reviewed-by:|acked-by:|author:|@author|maintainer:|written\s+by|thanks\s+to|todo\(|fixme\("
 
-_UP = r"[^\W\d_a-zß-öø-ÿа-яё]"
+#: Upper case letters of the Latin and Cyrillic alphabets. Patterns begin with it, so that the search skips to the next one.
+_UP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ]"
 _CAP = rf"{_UP}[^\W\d_]*(?:['’\-][^\W\d_]+)*"
 _PARTICLE = r"(?:(?:[Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]en|[Dd]el|[Dd]i|[Dd]a|[Dd]u|[Ll]e|[Ll]a|[Tt]er|[Tt]en|[Ee]l|[Aa]l|VAN|VON|DE|DER|DEL|DI|DA|DU|LE|LA)[ ])"
 
@@ -59,6 +60,7 @@ _EMAIL = re.compile(rf"(?<![A-Za-z0-9._+\-]){_LOCAL}{_HARD_AT}{_DOMAIN}(?![A-Za-
 _SOFT_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._+\-]){_LOCAL}[^\S\n](?:at|AT)[^\S\n][A-Za-z0-9\-]+(?:[^\S\n](?:dot|DOT)[^\S\n][A-Za-z0-9\-]+)+(?![A-Za-z0-9_\-])"
 )
+_CREDENTIALS = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/\"'<>]*$", re.I)
 _FILE_LIKE = re.compile(rf"\.(?:{_FILE_ENDINGS})$", re.I)
 _MAYBE_EMAIL = re.compile(r"@|＠|%40|&#64;|&commat;|[\[({<] ?(?:at|AT|At) ?[\])}>]")
 
@@ -68,13 +70,15 @@ _NUMBER = re.compile(
 )
 _KEYED = re.compile(rf"(?:{_IDENTITY})\s*[:=#]?\s*[\"']?$", re.I)
 _CALLED = re.compile(r"(?<!\w)(?:tel(?:ephone)?|phone|fax|mobile|cell|call)(?:\s+(?:number|no))?\s*[.:=#]?\s*[\"']?$", re.I)
-_NAME = re.compile(rf"(?<![\w@%\-])(?<!\w['’])({_PARTICLE}{{0,2}}{_CAP})(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w))")
-_INITIAL = re.compile(rf"(?<![\w.@%\-])(?<!\w['’])({_UP})\.[ ](?:{_UP}\.[ ])?({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w)")
+_NAME = re.compile(rf"({_CAP})(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w))")
+_INITIAL = re.compile(rf"({_UP})\.[ ](?:{_UP}\.[ ])?({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w)")
+_PARTICLES = re.compile(rf"(?<![\w'’@%\-]){_PARTICLE}{{1,2}}$")
 _TRAILED = re.compile(rf"(?:{_TRAILERS})\s*(?:(?:Dr|Prof|Mr|Mrs|Ms)\.\s)?(?:{_UP}\.\s)?$", re.I)
 _BEFORE = re.compile(
     rf"(?<![\w.\-/:@])([0-9]{{1,4}}[a-z]?)[ ](?:([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?({_CAP}(?:[ ]{_CAP}){{0,3}})(\.?)"
 )
-_AFTER = re.compile(rf"(?:(?<!\w)([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?(?<!\w)(?<!\w['’])({_CAP}(?:[ ]{_CAP}){{0,2}})(\.?)[ ]([0-9]{{1,4}}[a-z]?)(?![\w.\-/:])")
+_AFTER = re.compile(rf"({_CAP}(?:[ ]{_CAP}){{0,2}})(\.?)[ ]([0-9]{{1,4}}[a-z]?)(?![\w.\-/:])")
+_WORD_BEFORE = re.compile(r"(?<!\w)([^\W\d_A-Z]{2,9})[ ](?:(?:de|du|des|la|del)[ ])*$")
 _COMPOUND = re.compile(rf"^(.{{3,}}?)(?:[ \-])?({_STREET_ENDINGS})$", re.I)
 _STREET = re.compile(rf"^(?:{_STREET_WORDS})$", re.I)
 _PREFIX = re.compile(rf"^(?:{_STREET_PREFIXES})$", re.I)
@@ -99,16 +103,27 @@ def _right(text: str, at: int, high: int) -> str:
     return _norm(got[0]) if got[0][0].isalpha() else " ".join(map(_norm, got if len(got) > 1 else [*got, "$"]))
 
 
+def _free(text: str, at: int, marks: str) -> bool:
+    """Whether a word may begin here: not within a word, after one of the marks or after an apostrophe within a word."""
+    before = text[at - 1 : at]
+    if not before:
+        return True
+    return not (before.isalnum() or before == "_" or before in marks or before in "'’" and (text[at - 2 : at - 1].isalnum()))
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Spans of mail addresses, plain or disguised, without credentials in URLs and names of files or packages."""
-    spans = []
-    if _MAYBE_EMAIL.search(text):
-        for m in _EMAIL.finditer(text):
+    spans, done = [], -1
+    for hint in _MAYBE_EMAIL.finditer(text):  # only the lines that hold a sign of an address are searched
+        if hint.start() < done:
+            continue
+        low, done = text.rfind("\n", 0, hint.start()) + 1, text.find("\n", hint.end())
+        done = len(text) if done < 0 else done
+        for m in _EMAIL.finditer(text, low, done):
             a, b = m.span()
             if _FILE_LIKE.search(m.group()):
                 continue
-            line = text[text.rfind("\n", 0, a) + 1 : a]
-            if re.search(r"[a-z][a-z0-9+.\-]*://[^\s/\"'<>]*$", line, re.I) or text[a - 1 : a] == "@":
+            if _CREDENTIALS.search(text, low, a) or text[a - 1 : a] == "@":
                 continue
             spans.append((a, b))
     if " DOT " in text or " dot " in text:
@@ -140,6 +155,8 @@ def mentions(text: str) -> list[tuple]:
 
     for m in _NUMBER.finditer(text):
         a, b = m.span()
+        if b - a < 7:
+            continue
         if text[b - 1] == ")" and (text[a] == "(" and text.find(")", a) == b - 1 or text.count(")", a, b) > text.count("(", a, b)):
             b -= 1
         if text[a] == "(" and text.find(")", a, b) < 0:
@@ -161,14 +178,20 @@ def mentions(text: str) -> list[tuple]:
         add("number", a, b, shape, re.sub(r"[ \-]", "", shape), seed)
     for m in _NAME.finditer(text):
         a, b = m.start(), m.end(4)
+        if not _free(text, a, "@%-"):
+            continue
         first, comma, _, last = m.groups()
         if comma and re.match(r"\s[0-9]", text[b : b + 2]):
             continue  # a flat, a unit or a street after a name
-        given, family = (last, first) if comma else (first, last)
         low, _ = bounds(a)
+        if p := _PARTICLES.search(text, max(low, a - 12), a):
+            a, first = p.start(), text[p.start() : a] + first
+        given, family = (last, first) if comma else (first, last)
         seed = "name" if _TRAILED.search(text, max(low, a - 40), a) else None
         add("name", a, b, "g:" + given.lower(), "f:" + family.lower(), seed)
     for m in _INITIAL.finditer(text):
+        if not _free(text, m.start(), ".@%-"):
+            continue
         low, _ = bounds(m.start())
         seed = "name" if _TRAILED.search(text, max(low, m.start() - 40), m.start()) else None
         add("name", m.start(), m.end(), "", "f:" + m.group(2).lower(), seed)
@@ -183,11 +206,13 @@ def mentions(text: str) -> list[tuple]:
             seed = "address" if _STREET.match(words[k]) else None
             add("address", m.start(), end, "s:" + " ".join(words[:k]).lower(), "_ " + words[k].lower(), seed)
     for m in _AFTER.finditer(text):
-        words = m.group(2)
-        if m.group(1):
-            add("address", m.start(), m.end(), "s:" + words.lower(), f"{m.group(1).lower()} _ 9", None)
+        if not _free(text, m.start(), ""):
+            continue
+        words, (low, _) = m.group(1), bounds(m.start())
+        if w := _WORD_BEFORE.search(text, max(low, m.start() - 24), m.start()):
+            add("address", w.start(1), m.end(), "s:" + words.lower(), f"{w.group(1).lower()} _ 9", None)
         if c := _COMPOUND.match(words):
-            add("address", m.start(2), m.end(), "s:" + c.group(1).lower(), "_" + c.group(2).lower() + " 9", None)
+            add("address", m.start(), m.end(), "s:" + c.group(1).lower(), "_" + c.group(2).lower() + " 9", None)
     return out
 
 
