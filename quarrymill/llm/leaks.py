@@ -30,6 +30,7 @@ SIMILARITY = 0.8
 #: Text of the items in one index; an index takes about 40 bytes for each of its windows.
 BLOCK_CHARS = 8 << 20
 SLICE_BYTES = 2 << 20
+TABLE_BITS = 20
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _LUT = np.zeros(256, np.uint8)
@@ -103,7 +104,9 @@ class Index:
         for a, b in zip(edges[:-1], edges[1:]):
             key = self._block(self.prints, a, b)
             order = np.argsort(key, kind="stable")
-            self.blocks.append((a, b, order, np.searchsorted(key[order], np.arange((1 << (b - a)) + 1))))
+            # blocks of few bits have a table of first places, wider ones are searched
+            places = np.searchsorted(key[order], np.arange((1 << (b - a)) + 1)) if b - a <= TABLE_BITS else None
+            self.blocks.append((a, b, order, key[order], places))
 
     @staticmethod
     def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -126,9 +129,13 @@ class Index:
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the print, number of the item's window) of all pairs within the radius."""
         left, right = [], []
-        for a, b, order, first in self.blocks:
+        for a, b, order, keys, places in self.blocks:
             key = self._block(prints, a, b)
-            low, n = first[key], first[key + 1] - first[key]
+            if places is not None:
+                low, n = places[key], places[key + 1] - places[key]
+            else:
+                low = np.searchsorted(keys, key)
+                n = np.searchsorted(keys, key, side="right") - low
             hit = np.flatnonzero(n)
             n = n[hit]
             for part in np.array_split(np.arange(len(hit)), max(1, int(n.sum()) >> 22)):

@@ -60,6 +60,7 @@ _EMAIL = re.compile(rf"(?<![A-Za-z0-9._+\-]){_LOCAL}{_HARD_AT}{_DOMAIN}(?![A-Za-
 _SOFT_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._+\-]){_LOCAL}[^\S\n](?:at|AT)[^\S\n][A-Za-z0-9\-]+(?:[^\S\n](?:dot|DOT)[^\S\n][A-Za-z0-9\-]+)+(?![A-Za-z0-9_\-])"
 )
+_COMMON_ENDING = re.compile(r"\s(?:com|org|net|edu|gov|io|dev|info|example|test|invalid|uk|de|fr|nl|it|es|pl|eu|us|ca|au|jp|in|br|ch|at|se|no|dk|fi)$", re.I)
 _CREDENTIALS = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/\"'<>]*$", re.I)
 _FILE_LIKE = re.compile(rf"\.(?:{_FILE_ENDINGS})$", re.I)
 _MAYBE_EMAIL = re.compile(r"@|＠|%40|&#64;|&commat;|[\[({<] ?(?:at|AT|At) ?[\])}>]")
@@ -127,7 +128,11 @@ def emails(text: str) -> list[tuple[int, int]]:
                 continue
             spans.append((a, b))
     if " DOT " in text or " dot " in text:
-        spans += [m.span() for m in _SOFT_EMAIL.finditer(text) if not any(a < m.end() and m.start() < b for a, b in spans)]
+        for m in _SOFT_EMAIL.finditer(text):
+            # in small letters the words are ordinary ones: an odd mailbox or a common ending must say that it is an address
+            sure = " DOT " in m.group() or re.search(r"[0-9._+\-]", m.group().split(" ")[0]) or _COMMON_ENDING.search(m.group())
+            if sure and not any(a < m.end() and m.start() < b for a, b in spans):
+                spans.append(m.span())
     return spans
 
 

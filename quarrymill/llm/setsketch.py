@@ -67,7 +67,7 @@ def log_likelihood_root(values: np.ndarray, counts: np.ndarray, base: float) ->
     d = np.where(v > 0, a * (base - 1), np.inf)
 
     def slopes(rate: float) -> tuple[float, float]:
-        x = np.minimum(rate * d, 700.0)
+        x = np.minimum(rate * d, 300.0)
         e = np.expm1(x)
         first = np.where(v > 0, np.where(np.isinf(d), 0.0, d) / e, 0.0)
         second = np.where(v > 0, np.where(np.isinf(d), 0.0, d) ** 2 * (e + 1) / e**2, 0.0)
