@@ -96,10 +96,11 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
         texts.append(text.alias(c.name))
     kept = [x for x in raw.columns if x not in {ROW, PROBLEM}]
     step = raw.select(ROW, PROBLEM, F.struct(*(quoted(x) for x in kept)).alias("_raw") if kept else F.lit(None).alias("_raw"), F.struct(*texts).alias("_text"))
-    for c in schema.columns:
+    # a column each, not a struct of all: the optimizer would repeat a struct's members at every use
+    for k, c in enumerate(schema.columns):
         text = quoted("_text")[c.name]
-        parsed.append(F.when(text.isNotNull() & F.col(PROBLEM).isNull(), coerce(text, c)).alias(c.name))
-    step = step.select(ROW, PROBLEM, "_raw", "_text", F.struct(*parsed).alias("_parsed"))
+        parsed.append(F.when(text.isNotNull() & F.col(PROBLEM).isNull(), coerce(text, c)).alias(f"_parsed_{k}"))
+    step = step.select(ROW, PROBLEM, "_raw", "_text", *parsed)
     issues = [
         F.when(
             F.col(PROBLEM).isNotNull(),
@@ -107,8 +108,8 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
         )
     ]
     whole = F.col(PROBLEM).isNull()
-    for c in schema.columns:
-        text, got = F.col("_text")[c.name], F.col("_parsed")[c.name]
+    for k, c in enumerate(schema.columns):
+        text, got = F.col("_text")[c.name], F.col(f"_parsed_{k}")
         if c.required and c.src in present:
             issues.append(_issue(whole & text.isNull(), c, "required", "required value is missing", text, policy))
         issues.append(_issue(got["error"].isNotNull(), c, "type", got["error"], text, policy))
@@ -118,7 +119,7 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
         PROBLEM,
         "_raw",
         "_text",
-        *(F.col("_parsed")[c.name]["value"].alias(c.name) for c in schema.columns),
+        *(F.col(f"_parsed_{k}")["value"].alias(c.name) for k, c in enumerate(schema.columns)),
         F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("_issues"),
     )
 
@@ -131,27 +132,34 @@ def duplicate_groups(rows: DataFrame, keys: list[str], row: str = ROW) -> DataFr
 
 
 def with_duplicates(rows: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
-    """Adds an issue to every member of each duplicate group, in schema order after the row's own issues."""
+    """Adds an issue to every member of each duplicate group, in schema order after the row's own issues.
+
+    Every unique column's groups are counted from the rows as they came in, so the input is read once more per
+    unique column, never once per combination.
+    """
+    base, columns = rows, rows.columns
     for c in (c for c in schema.columns if c.unique):
-        # personal values are hashed before they are shuffled
-        key = F.sha2(F.col(c.name).cast("string"), 256) if c.pii and policy.mask_pii else F.col(c.name)
-        keyed = rows.withColumn("_key", key)
-        groups = duplicate_groups(keyed.select(ROW, "_key"), ["_key"]).toDF("_key", "_members", "_first")
-        first = keyed.select(F.col(ROW).alias("_first"), F.col("_text")[c.name].alias("_first_text"))
-        groups = groups.join(first, "_first").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = keyed.withColumn("_salt", F.pmod(F.col(ROW), F.lit(SALTS)).cast("int"))
+        masked = c.pii and policy.mask_pii
+        # personal values are hashed before they are shuffled, and their texts stay where they are
+        key = F.sha2(F.col(c.name).cast("string"), 256) if masked else F.col(c.name)
+        text = F.lit(MASKED) if masked else F.col("_text")[c.name]
+        keyed = base.select(F.col(ROW).alias("_r"), key.alias("_key"), text.alias("_t")).where("_key IS NOT NULL")
+        part = keyed.groupBy("_key", F.spark_partition_id().alias("_part")).agg(F.count("*").alias("n"), F.min(F.struct("_r", "_t")).alias("first"))
+        groups = part.groupBy("_key").agg(F.sum("n").alias("_members"), F.min("first").alias("_first")).where("_members > 1")
+        groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         issue = _issue(
-            F.col("_members").isNotNull(),
+            F.lit(True),
             c,
             "unique",
             F.concat(F.lit("value occurs in "), F.col("_members").cast("string"), F.lit(" rows")),
-            F.col("_first_text"),
+            F.col("_first")["_t"],
             policy,
         )
         rows = (
-            salted.join(groups, ["_key", "_salt"], "left")
+            rows.withColumns({"_key": key, "_salt": F.pmod(F.col(ROW), F.lit(SALTS)).cast("int")})
+            .join(groups, ["_key", "_salt"], "left")
             .withColumn("_issues", F.when(F.col("_members").isNull(), F.col("_issues")).otherwise(F.concat("_issues", F.array(issue))))
-            .select(*rows.columns)
+            .select(*columns)
         )
     return rows
 
