@@ -17,37 +17,34 @@ from quarrymill.functions import plain
 from quarrymill.model import Column
 
 
-def _pair(value: C, error: C, kind: T.DataType) -> C:
-    return F.struct(F.when(error.isNull(), value).cast(kind).alias("value"), error.alias("error"))
+def integer_value(text: C) -> C:
+    return F.when(text.rlike(r"\A[+-]?(?:0|[1-9][0-9]{0,18})\z"), text.try_cast("bigint"))
 
 
-def integer(text: C) -> C:
-    digits = F.regexp_replace(text, r"^[+-]", "")
-    value = text.try_cast("bigint")
-    error = (
+def integer_error(text: C) -> C:
+    return (
         F.when(~text.rlike(r"\A[+-]?[0-9]+\z"), plain.BAD_INTEGER)
-        .when(digits.rlike(r"\A0[0-9]"), plain.ZEROS_INTEGER)
-        .when(value.isNull(), plain.WIDE_INTEGER)
+        .when(text.rlike(r"\A[+-]?0[0-9]"), plain.ZEROS_INTEGER)
+        .otherwise(plain.WIDE_INTEGER)
     )
-    return _pair(value, error, T.LongType())
 
 
-def decimal(text: C, scale: int) -> C:
-    whole = F.regexp_extract(text, r"\A[+-]?([0-9]+)", 1)
-    places = F.length(F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)\z", 1), r"0+\z", ""))
-    error = (
+def decimal_value(text: C, scale: int) -> C:
+    part = rf"[0-9]{{1,{scale}}}0*" if scale else "0+"
+    return F.when(text.rlike(rf"\A[+-]?(?:0|[1-9][0-9]{{0,{37 - scale}}})(?:\.{part})?\z"), text.try_cast(T.DecimalType(38, scale)))
+
+
+def decimal_error(text: C, scale: int) -> C:
+    return (
         F.when(~text.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?\z"), plain.BAD_DECIMAL)
-        .when(whole.rlike(r"\A0[0-9]"), plain.ZEROS_DECIMAL)
-        .when(F.length(whole) > 38 - scale, plain.WIDE_DECIMAL)
-        .when(places > scale, plain.FINE_DECIMAL.format(scale))
+        .when(text.rlike(r"\A[+-]?0[0-9]"), plain.ZEROS_DECIMAL)
+        .when(F.length(F.regexp_extract(text, r"\A[+-]?([0-9]+)", 1)) > 38 - scale, plain.WIDE_DECIMAL)
+        .otherwise(plain.FINE_DECIMAL.format(scale))
     )
-    exact = F.regexp_replace(text, r"(\.[0-9]*?)0+\z", "$1")
-    kind = T.DecimalType(38, scale)
-    return _pair(F.regexp_replace(exact, r"\.\z", "").try_cast(kind), error, kind)
 
 
 _DIRECTIVE = re.compile(r"%(.)")
-_PARTS = {"Y": ("year", r"\d{4}", r"\d{4}"), "m": ("month", r"\d{2}", r"1[0-2]|0?[1-9]"), "d": ("day", r"\d{2}", r"[12]\d|3[01]|0?[1-9]")}
+_PARTS = {"Y": (r"[0-9]{4}", r"[0-9]{4}"), "m": (r"[0-9]{2}", r"1[0-2]|0?[1-9]"), "d": (r"[0-9]{2}", r"[12][0-9]|3[01]|0?[1-9]")}
 
 
 def native_format(fmt: str) -> bool:
@@ -55,29 +52,31 @@ def native_format(fmt: str) -> bool:
     return sorted(found) == ["Y", "d", "m"] and fmt.isascii() and not any(c.isspace() for c in fmt)
 
 
-def date(text: C, fmt: str) -> C:
+def _form(fmt: str, loose: bool) -> str:
+    parts = re.split(r"%.", fmt)
+    body = re.escape(parts[0])
+    for d, rest in zip(_DIRECTIVE.findall(fmt), parts[1:]):
+        body += f"({_PARTS[d][loose]})" + re.escape(rest)
+    return rf"\A{body}\z"
+
+
+def _day(text: C, fmt: str, loose: bool) -> C:
+    form, order = _form(fmt, loose), _DIRECTIVE.findall(fmt)
+    if fmt == "%Y-%m-%d" and not loose:
+        return F.when(text.rlike(form) & ~text.startswith("0000"), text.try_cast("date"))
+    get = lambda d: F.regexp_extract(text, form, order.index(d) + 1)
+    iso = F.concat(get("Y"), F.lit("-"), F.lpad(get("m"), 2, "0"), F.lit("-"), F.lpad(get("d"), 2, "0"))
+    return F.when(text.rlike(form) & (get("Y") != "0000"), iso.try_cast("date"))
+
+
+def date_value(text: C, fmt: str) -> C:
+    return _day(text, fmt, False) if native_format(fmt) else _slow_date(text, fmt)["value"]
+
+
+def date_error(text: C, fmt: str) -> C:
     if not native_format(fmt):
-        return _slow_date(text, fmt)
-    order = _DIRECTIVE.findall(fmt)
-
-    def form(which: int) -> str:
-        parts = re.split(r"%.", fmt)
-        body = re.escape(parts[0])
-        for d, rest in zip(order, parts[1:]):
-            body += f"({_PARTS[d][which]})" + re.escape(rest)
-        return rf"\A{body}\z"
-
-    loose = form(2).replace(r"\d", "[0-9]")
-    at = {d: k + 1 for k, d in enumerate(order)}
-    get = lambda d: F.regexp_extract(text, loose, at[d])
-    value = F.when(
-        text.rlike(loose) & (get("Y") != "0000"),
-        F.concat(get("Y"), F.lit("-"), F.lpad(get("m"), 2, "0"), F.lit("-"), F.lpad(get("d"), 2, "0")).try_cast("date"),
-    )
-    error = F.when(value.isNull(), plain.BAD_DATE.format(fmt)).when(
-        ~text.rlike(form(1).replace(r"\d", "[0-9]")), plain.LOOSE_DATE.format(fmt)
-    )
-    return _pair(value, error, T.DateType())
+        return _slow_date(text, fmt)["error"]
+    return F.when(_day(text, fmt, True).isNull(), plain.BAD_DATE.format(fmt)).otherwise(plain.LOOSE_DATE.format(fmt))
 
 
 def _slow_date(text: C, fmt: str) -> C:
@@ -89,23 +88,57 @@ def _slow_date(text: C, fmt: str) -> C:
     return parse(text)
 
 
-def boolean(text: C) -> C:
+def boolean_value(text: C) -> C:
     low = F.lower(text)
-    value = F.when(low.isin(*plain.TRUE), True).when(low.isin(*plain.FALSE), False)
-    return _pair(value, F.when(value.isNull(), plain.BAD_BOOLEAN), T.BooleanType())
+    return F.when(low.isin(*plain.TRUE), True).when(low.isin(*plain.FALSE), False)
 
 
-def coerce(text: C, col: Column) -> C:
-    """struct(value, error) of a cell's text that is not null."""
+def value(text: C, col: Column) -> C:
+    """The typed value of a cell's text, or null where it does not parse: one test of the form and one cast."""
     if col.type == "integer":
-        return integer(text)
+        return integer_value(text)
     if col.type == "decimal":
-        return decimal(text, col.places)
+        return decimal_value(text, col.places)
     if col.type == "date":
-        return date(text, col.date_format)
-    if col.type == "boolean":
-        return boolean(text)
-    return _pair(text, F.lit(None).cast("string"), T.StringType())
+        return date_value(text, col.date_format)
+    return boolean_value(text) if col.type == "boolean" else text
+
+
+def error(text: C, parsed: C, col: Column) -> C:
+    """What is wrong with a text that did not parse; looked into only then."""
+    if col.type == "string":
+        return F.lit(None).cast("string")
+    if col.type == "integer":
+        why = integer_error(text)
+    elif col.type == "decimal":
+        why = decimal_error(text, col.places)
+    elif col.type == "date":
+        why = date_error(text, col.date_format)
+    else:
+        why = F.lit(plain.BAD_BOOLEAN)
+    return F.when(text.isNotNull() & parsed.isNull(), why)
+
+
+def coerce(text: C, col: Column) -> C:
+    """struct(value, error) of a cell's text."""
+    parsed = value(text, col)
+    return F.struct(parsed.cast(col.spark_type).alias("value"), error(text, parsed, col).alias("error"))
+
+
+def integer(text: C) -> C:
+    return coerce(text, Column("c", "integer"))
+
+
+def decimal(text: C, scale: int) -> C:
+    return coerce(text, Column("c", "decimal", scale=scale))
+
+
+def date(text: C, fmt: str) -> C:
+    return coerce(text, Column("c", "date", format=fmt))
+
+
+def boolean(text: C) -> C:
+    return coerce(text, Column("c", "boolean"))
 
 
 def quantize(value: C, scale: int) -> C:

@@ -16,7 +16,7 @@ from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.coerce import coerce
+from quarrymill.functions import coerce
 from quarrymill.model import ROW, Column, Policy, Schema
 
 PROBLEM = "_problem"
@@ -99,7 +99,7 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
     # a column each, not a struct of all: the optimizer would repeat a struct's members at every use
     for k, c in enumerate(schema.columns):
         text = quoted("_text")[c.name]
-        parsed.append(F.when(text.isNotNull() & F.col(PROBLEM).isNull(), coerce(text, c)).alias(f"_parsed_{k}"))
+        parsed.append(F.when(F.col(PROBLEM).isNull(), coerce.value(text, c)).alias(f"_parsed_{k}"))
     step = step.select(ROW, PROBLEM, "_raw", "_text", *parsed)
     issues = [
         F.when(
@@ -112,14 +112,15 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
         text, got = F.col("_text")[c.name], F.col(f"_parsed_{k}")
         if c.required and c.src in present:
             issues.append(_issue(whole & text.isNull(), c, "required", "required value is missing", text, policy))
-        issues.append(_issue(got["error"].isNotNull(), c, "type", got["error"], text, policy))
-        issues += _rules(c, got["value"], text, policy)
+        if c.type != "string":
+            issues.append(_issue(whole & text.isNotNull() & got.isNull(), c, "type", coerce.error(text, got, c), text, policy))
+        issues += _rules(c, got, text, policy)
     return step.select(
         ROW,
         PROBLEM,
         "_raw",
         "_text",
-        *(F.col(f"_parsed_{k}")["value"].alias(c.name) for k, c in enumerate(schema.columns)),
+        *(F.col(f"_parsed_{k}").alias(c.name) for k, c in enumerate(schema.columns)),
         F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("_issues"),
     )
 
@@ -183,7 +184,9 @@ def issues(checked: DataFrame) -> DataFrame:
 
 
 def counts_by_rule(checked: DataFrame) -> DataFrame:
-    return issues(checked).groupBy("rule").agg(F.count("*").alias("n"))
+    """Issues per rule: rows are counted by their set of rules first, of which there are few, and only these are taken apart."""
+    kinds = checked.select(F.transform("_issues", lambda i: i["rule"]).alias("rules")).groupBy("rules").agg(F.count("*").alias("n"))
+    return kinds.select(F.explode("rules").alias("rule"), "n").groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 def summary(checked: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.errors import SourceError
 from quarrymill.model import ROW
 from quarrymill.operators.validate import PROBLEM
+from quarrymill.session import spread
 from quarrymill.sources import delimited, documents
 from quarrymill.sources.preflight import ENCODING, SourceInfo, inspect
 
@@ -47,7 +48,7 @@ def read_source(
 def read_table(df: DataFrame, order: str) -> DataFrame:
     """A raw frame of an existing table: all columns as text, records numbered in the order of a unique column."""
     texts = [F.when(F.col(c).isNotNull(), F.col(c).cast("string")).alias(c) for c in df.columns]
-    return df.select(F.col(order).cast("bigint").alias(ROW), F.lit(None).cast("string").alias(PROBLEM), *texts)
+    return spread(df).select(F.col(order).cast("bigint").alias(ROW), F.lit(None).cast("string").alias(PROBLEM), *texts)
 
 
 #: Values of the invented buyers (fixed values).
