@@ -54,12 +54,12 @@ def shown(text: C, col: Column, policy: Policy) -> C:
 
 def _issue(when: C, col: Column, rule: str, message: C | str, text: C, policy: Policy) -> C:
     message = F.lit(message) if isinstance(message, str) else message
-    return F.when(
-        when,
-        F.struct(
-            F.lit(col.name).alias("column"), F.lit(rule).alias("rule"), message.alias("message"), shown(text, col, policy).alias("value")
-        ).cast(ISSUE),
-    )
+    return _when(when, F.struct(F.lit(col.name).alias("column"), F.lit(rule).alias("rule"), message.alias("message"), shown(text, col, policy).alias("value")))
+
+
+def _when(holds: C, issue: C) -> C:
+    """An array of the issue or of none: arrays are joined by compiled code, which filtering with a lambda is not."""
+    return F.when(holds, F.array(issue.cast(ISSUE))).otherwise(F.array().cast(f"array<{ISSUE}>"))
 
 
 def _show_bound(v) -> str:
@@ -102,9 +102,9 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
         parsed.append(F.when(F.col(PROBLEM).isNull(), coerce.value(text, c)).alias(f"_parsed_{k}"))
     step = step.select(ROW, PROBLEM, "_raw", "_text", *parsed)
     issues = [
-        F.when(
+        _when(
             F.col(PROBLEM).isNotNull(),
-            F.struct(F.lit("").alias("column"), F.lit("structure").alias("rule"), F.col(PROBLEM).alias("message"), F.lit(None).cast("string").alias("value")).cast(ISSUE),
+            F.struct(F.lit("").alias("column"), F.lit("structure").alias("rule"), F.col(PROBLEM).alias("message"), F.lit(None).cast("string").alias("value")),
         )
     ]
     whole = F.col(PROBLEM).isNull()
@@ -121,7 +121,7 @@ def typed(raw: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
         "_raw",
         "_text",
         *(F.col(f"_parsed_{k}").alias(c.name) for k, c in enumerate(schema.columns)),
-        F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("_issues"),
+        F.concat(*issues).alias("_issues"),
     )
 
 
@@ -159,7 +159,7 @@ def with_duplicates(rows: DataFrame, schema: Schema, policy: Policy) -> DataFram
         rows = (
             rows.withColumns({"_key": key, "_salt": F.pmod(F.col(ROW), F.lit(SALTS)).cast("int")})
             .join(groups, ["_key", "_salt"], "left")
-            .withColumn("_issues", F.when(F.col("_members").isNull(), F.col("_issues")).otherwise(F.concat("_issues", F.array(issue))))
+            .withColumn("_issues", F.when(F.col("_members").isNull(), F.col("_issues")).otherwise(F.concat(F.col("_issues"), issue)))
             .select(*columns)
         )
     return rows
@@ -180,13 +180,14 @@ def quarantined(checked: DataFrame) -> DataFrame:
 
 def issues(checked: DataFrame) -> DataFrame:
     """One row per issue: _row, position, column, rule, message, value."""
-    return checked.select(ROW, F.posexplode("_issues").alias("position", "issue")).select(ROW, "position", "issue.*")
+    return checked.select(ROW, F.posexplode_outer("_issues").alias("position", "issue")).where("position IS NOT NULL").select(ROW, "position", "issue.*")
 
 
 def counts_by_rule(checked: DataFrame) -> DataFrame:
     """Issues per rule: rows are counted by their set of rules first, of which there are few, and only these are taken apart."""
-    kinds = checked.select(F.transform("_issues", lambda i: i["rule"]).alias("rules")).groupBy("rules").agg(F.count("*").alias("n"))
-    return kinds.select(F.explode("rules").alias("rule"), "n").groupBy("rule").agg(F.sum("n").alias("n"))
+    kinds = checked.select(F.col("_issues")["rule"].alias("rules")).groupBy("rules").agg(F.count("*").alias("n"))
+    # outer: else the optimizer infers a filter on the array and evaluates all rules a second time at the scan
+    return kinds.select(F.explode_outer("rules").alias("rule"), "n").where("rule IS NOT NULL").groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 def summary(checked: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def quarantine_rows(checked: DataFrame, schema: Schema, policy: Policy) -> DataF
     cells = [(F.when(text(n).isNotNull(), MASKED) if n in hide else formula_guard(text(n))).alias(csv_safe(n)) for n in names]
     return quarantined(checked).select(
         F.col(ROW).alias("row"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_issues", lambda i: i["rule"]))), ";").alias("rules"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("_issues")["rule"])), ";").alias("rules"),
         F.array_join(F.transform("_issues", lambda i: F.concat_ws(": ", F.when(i["column"] != "", i["column"]), i["message"])), " | ").alias("messages"),
         *cells,
     )
