@@ -13,7 +13,8 @@ RAW = "row_no bigint, file_name string, delim string, line string"
 
 def reasons(spark, lines, delim=","):
     df = spark.createDataFrame([(i, f"f{i % 3}", delim, x) for i, x in enumerate(lines)], RAW)
-    return {i: sorted(r.reason for r in rejected_rows(load_records(df)).collect() if r.row_no == i) for i in range(len(lines))}
+    found = rejected_rows(load_records(df)).collect()
+    return {i: sorted(r.reason for r in found if r.row_no == i) for i in range(len(lines))}
 
 
 def test_reasons(spark):
