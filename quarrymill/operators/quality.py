@@ -4,7 +4,8 @@ One scan counts rows by load and category (nulls, values outside the schema, reg
 of amount per load with their categories. Both combine on the map side, so a load that holds a third of the rows sends
 no more than its distinct combinations. A logistic regression per load (operators/shift_test.py), trained where the cells
 of the load and of its first load meet, yields cross-fitted discrimination and its loss when a column is
-left out. Columns that it tells apart beyond chance are candidates; exact comparisons decide the findings, all in integers.
+left out. Exact comparisons alone decide the findings, all in integers: a change within one cell of the classifier leaves its
+discrimination at chance, so its figures stand beside a finding and never remove one.
 
 The largest gap between two cumulative distributions is bounded from counts over logarithmic bins; only bins in which the
 gap may pass the limit are looked at value by value.
@@ -29,7 +30,7 @@ from quarrymill.session import cut, write_once
 REGIONS = ("EU", "US", "APAC")
 OTHER_REGIONS = 12
 NULL_GAP, LIMIT_SHARE, KS_GAP, TV_GAP = (1, 10), (1, 50), (1, 5), (3, 20)
-#: A column is a candidate if its cross-fitted discrimination may exceed this (chance is 0.5), given three standard errors.
+#: A column counts as told apart if its cross-fitted discrimination may exceed this (chance is 0.5), given three standard errors.
 AUC_LEAST = 0.51
 _INT = "decimal(38,0)"
 
@@ -122,16 +123,17 @@ class LoadQuality:
         paired = own.join(first, "first_load").select("load_id", "first_load", "cells", "first_cells")
         return paired.repartition(F.col("load_id")).mapInArrow(_test_batches, schema)
 
-    def candidates(self, tests: DataFrame) -> DataFrame:
-        """(load_id, column_name): columns that the classifier tells apart beyond chance."""
+    @staticmethod
+    def figures(tests: DataFrame) -> DataFrame:
+        """(load_id, column_name, auc, auc_error, told_apart): what the classifier says of each column of a load."""
         c = lambda name: F.struct(
             F.lit(name).alias("column_name"),
             F.greatest(F.col(f"auc_only_{name}"), F.lit(0.5) + F.col("auc_all") - F.col(f"auc_without_{name}")).alias("auc"),
         )
         return (
             tests.select("load_id", "auc_error", F.explode(F.array(c("amount"), c("region"), c("paid"))).alias("c"))
-            .where(F.col("c.auc") + 3 * F.col("auc_error") > AUC_LEAST)
-            .select("load_id", "c.column_name")
+            .select("load_id", "c.column_name", "c.auc", "auc_error")
+            .withColumn("told_apart", F.col("auc") + 3 * F.col("auc_error") > AUC_LEAST)
         )
 
     def _beside_first(self, counts: DataFrame, value: str) -> DataFrame:
@@ -196,8 +198,13 @@ class LoadQuality:
 
     def findings(self) -> DataFrame:
         """(load_id, column_name, finding)."""
+        return cut(self.report()).select("load_id", "column_name", "finding")
+
+    def report(self) -> DataFrame:
+        """(load_id, column_name, finding, auc, auc_error, told_apart): the findings, each with the classifier's figures (null for
+        a load that has no first load other than itself)."""
         totals = cut(self.totals())
-        marked = cut(self.candidates(self.tests()))
+        figures = cut(self.figures(self.tests()))
         first = totals.select(F.col("load_id").alias("first_load"), *(F.col(c).alias(f"f_{c}") for c in totals.columns[1:]))
         beside = totals.join(self.against, "load_id").join(first, "first_load")
         parts = []
@@ -216,13 +223,12 @@ class LoadQuality:
         for c in ("region", "paid"):
             parts.append(finding(self._share_change(c), c, "distribution"))
         parts.append(finding(self._cumulative_change(), "amount", "distribution"))
-        changed = reduce(DataFrame.unionByName, parts).join(marked, ["load_id", "column_name"], "left_semi")
         up, down = LIMIT_SHARE
-        outside = [
+        parts += [
             finding(totals.where(F.col(bad) * down > (F.col("n") - F.col(none)) * up), c, "out_of_limits")
             for c, bad, none in (("amount", "below", "no_amount"), ("region", "odd_region", "no_region"))
         ]
-        return reduce(DataFrame.unionByName, outside, changed)
+        return reduce(DataFrame.unionByName, parts).join(figures, ["load_id", "column_name"], "left")
 
 
 def _product(a: Column, b: Column) -> Column:

@@ -30,6 +30,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.LoadQuality(table(spark, d, "sales"), table(spark, d, "loads")).findings()
 
 
+def p4_found_tested(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of p4_found, each with the classifier's figures for its column."""
+    return quality.LoadQuality(table(spark, d, "sales"), table(spark, d, "loads")).report()
+
+
 def p4_tests(spark: SparkSession, d: str) -> DataFrame:
     """The classifier two-sample test of every load: cross-fitted discrimination and its loss without each column."""
     return quality.LoadQuality(table(spark, d, "sales"), table(spark, d, "loads")).tests()
@@ -45,6 +50,7 @@ QUERIES = {
     "p1_loaded": p1_loaded,
     "p1_file_summary": p1_file_summary,
     "p4_found": p4_found,
+    "p4_found_tested": p4_found_tested,
     "p4_tests": p4_tests,
     "p4_profile": p4_profile,
 }
