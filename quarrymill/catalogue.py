@@ -335,6 +335,7 @@ metric("metric_topk_grouped", "part", "SELECT p_type, p_brand, sum(p_size) AS to
 metric("metric_two_level_cte", "events", "WITH u AS (SELECT user_id, count(*) AS n, any_value(event_type) AS one FROM data GROUP BY user_id) SELECT n, count(*) AS users, count(one) AS typed FROM u GROUP BY n")
 metric("metric_case_order", "orders", "SELECT o_orderstatus, count(*) AS n FROM data GROUP BY 1 ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END")
 metric("metric_null_order", "sales", "SELECT amount, sale_row FROM data WHERE load_id = 1 ORDER BY amount ASC NULLS LAST, sale_row LIMIT 50")
+metric("metric_null_order_all", "sales", "SELECT sale_row, load_id, amount, CAST(row_number() OVER (PARTITION BY load_id ORDER BY amount ASC NULLS LAST, sale_row) AS BIGINT) AS place, CAST(row_number() OVER (PARTITION BY load_id ORDER BY amount DESC NULLS FIRST, sale_row) AS BIGINT) AS place_down FROM data")
 metric("metric_formula_check", "lineitem", "SELECT count(*) AS n, count(*) FILTER (WHERE abs(CAST(l_quantity AS DOUBLE) * l_extendedprice * (1 - l_discount)) > 100000) AS big FROM data WHERE l_returnflag IN ('A', 'R') AND l_tax IS NOT NULL")
 metric("stated_vs_actual", "sales", "SELECT region, paid, count(*) AS n, count(customer_email) AS with_email FROM data WHERE paid <> false OR amount < 10 GROUP BY region, paid")
 metric("window_running", "orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nth FROM data")

@@ -50,6 +50,26 @@ def test_order_and_hash(spark, data):
     assert same["rows"] == [[500]]
 
 
+def test_null_order_over_all_rows(spark, data, tmp_path):
+    """Every row of every load has its place, nulls last or first, in Spark and by the query's SQL."""
+    import duckdb
+
+    from quarrymill import catalogue
+
+    given = [(r._row, r._row % 3, None if r._row % 4 == 0 else r.amount) for r in data.collect()]
+    spark.createDataFrame(given, "sale_row bigint, load_id bigint, amount decimal(38,2)").write.parquet(f"{tmp_path}/sales.parquet")
+    want = set()
+    for load in range(3):
+        own = [r for r in given if r[1] == load]
+        up = sorted(own, key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+        down = sorted(own, key=lambda r: (r[2] is not None, -(r[2] or 0), r[0]))
+        want |= {(*r, up.index(r) + 1, down.index(r) + 1) for r in own}
+    got = [tuple(r) for r in catalogue.QUERIES["metric_null_order_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(given) and set(got) == want
+    sales = duckdb.read_parquet(f"{tmp_path}/sales.parquet/*.parquet")  # noqa: F841
+    assert set(duckdb.sql(catalogue.ORACLE["metric_null_order_all"]).fetchall()) == want
+
+
 def test_limits(spark, data):
     with pytest.raises(MetricError, match="more than 10 rows"):
         run(spark, data, "SELECT _row FROM data", cap=10)
