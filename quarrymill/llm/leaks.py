@@ -6,6 +6,11 @@ fingerprints within the radius agree in at least one block, so looking up each b
 items' windows finds every pair within the radius. A pair is verified by the exact weighted Jaccard similarity of the windows' shingles
 (five words; a shingle weighs the more, the fewer items hold it) and, for passages, by equality word by word.
 
+Equal windows have equal fingerprints, so passages need no more. Windows that are merely alike are mostly further apart than the radius
+(one other word at a window's end moves about five bits), so where these are wanted too, every pair of windows with the similarity asked for
+is found by its shingles: of a document's window so much weight must be known to the index, and a pair must share one of its rarest shingles
+whose weight the rest cannot spare. Items that the fingerprints found already are left out there.
+
 Items are indexed in blocks of bounded text size, each sent to the tasks as one broadcast index; documents are read
 once per block and never shuffled before their findings are. Texts are handled as one byte buffer per batch, in slices.
 
@@ -99,6 +104,7 @@ class Index:
         self.start = np.flatnonzero(whole)
         self.owner, self.prints = place[self.start], prints[self.start]
         self.weights(place)
+        self.postings(place)
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = []
         for a, b in zip(edges[:-1], edges[1:]):
@@ -120,6 +126,22 @@ class Index:
         n = len(np.unique(self.ids)) + 1
         self.weight, self.unknown = np.log(1 + n / df), float(np.log(1 + n))
 
+    def postings(self, place: np.ndarray) -> None:
+        """The places of every shingle, the window that starts at a place (or -1), and the weight of every window's shingles."""
+        s = shingles(self.words)
+        ok = np.flatnonzero(place[: len(s)] == place[SHINGLE - 1 :]) if len(s) else np.empty(0, np.int64)
+        number = np.searchsorted(self.shingle, s[ok])
+        self.posted = ok[np.argsort(number, kind="stable")]
+        self.post = np.append(0, np.cumsum(np.bincount(number, minlength=len(self.shingle)))).astype(np.int64)
+        self.window_at = np.full(len(self.words), -1)
+        self.window_at[self.start] = np.arange(len(self.start))
+        _, self.item = np.unique(self.ids, return_inverse=True)  # an item's parts share a number
+        self.heavy = np.zeros(len(self.start))
+        if (k := self.window - SHINGLE + 1) > 0:
+            for part in np.array_split(np.arange(len(self.start)), len(self.start) // 2048 + 1):
+                x = s[self.start[part, None] + np.arange(k)]
+                self.heavy[part] = (self.weigh(x) * first_of(x)).sum(axis=1)
+
     def weigh(self, s: np.ndarray) -> np.ndarray:
         if not len(self.shingle):
             return np.full(s.shape, self.unknown)
@@ -161,6 +183,11 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_of(s: np.ndarray) -> np.ndarray:
+    """Whether a shingle is the first of its kind in its row."""
+    return ~np.tril(s[:, :, None] == s[:, None, :], -1).any(axis=2)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle sets of windows (rows of word hashes)."""
     out = np.empty(len(a))
@@ -173,15 +200,84 @@ def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> np.ndarray:
             continue
         x, y = rolled(a[part]), rolled(b[part])
         wx, wy = index.weigh(x), index.weigh(y)
-        first = lambda s: ~np.tril(s[:, :, None] == s[:, None, :], -1).any(axis=2)
-        fx, fy = first(x), first(y)
+        fx, fy = first_of(x), first_of(y)
         common = (wx * fx * (x[:, :, None] == y[:, None, :]).any(axis=2)).sum(axis=1)
         out[part] = common / np.maximum((wx * fx).sum(axis=1) + (wy * fy).sum(axis=1) - common, 1e-12)
     return out
 
 
-def _find(index: Index, buf: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int, bool, float]]:
-    """(number of the text, item, whether a run is equal, best similarity) over texts that lie end to end."""
+def _alike(index: Index, own: np.ndarray, doc: np.ndarray, whole: np.ndarray, least: float, best: dict) -> None:
+    """Adds to ``best`` the items that have a window with the least similarity to one of the words, and are not in it yet.
+
+    ``own``: hashes of words, ``doc``: the texts they belong to, ``whole``: windows that lie within one text.
+    """
+    w, k, slack = index.window, index.window - SHINGLE + 1, 1e-9
+    if k < 1 or not len(whole) or not len(index.start) or least <= 0:
+        return
+    s = shingles(own)
+    at = np.minimum(np.searchsorted(index.shingle, s), len(index.shingle) - 1)
+    known = index.shingle[at] == s
+    # at most this much weight is known; one unknown shingle at least counts where there are any
+    most = np.append(0, np.cumsum(np.where(known, index.weight[at], 0)))
+    gaps = np.append(0, np.cumsum(~known))
+    most, gaps = most[whole + k] - most[whole], gaps[whole + k] - gaps[whole]
+    rows = whole[(gaps < k) & (most * (1 - least) >= least * index.unknown * (gaps > 0) - 1e-6)]
+    numbers = len(index.item)
+    ids = {int(i): int(n) for i, n in zip(index.ids, index.item)}
+    for part in np.array_split(rows, len(rows) // 2048 + 1):
+        x, n, sure = (a[part[:, None] + np.arange(k)] for a in (s, at, known))
+        weight = np.where(sure, index.weight[n], index.unknown) * first_of(x)
+        total, sure = weight.sum(axis=1), sure & (weight > 0)
+        spare = np.where(sure, weight, 0).sum(axis=1) - least * total * (1 - slack)
+        keep = spare >= 0
+        part, n, weight, sure, total, spare = part[keep], n[keep], weight[keep], sure[keep], total[keep], spare[keep]
+        if not len(part):
+            continue
+        places = np.where(sure, index.post[n + 1] - index.post[n], 1 << 40)
+        order = np.argsort(places, axis=1, kind="stable")
+        places, n, weight, sure = (np.take_along_axis(a, order, 1) for a in (places, n, weight, sure))
+        weight = np.where(sure, weight, 0)
+        # shingles are needed until those before them outweigh what a pair may lack
+        need = sure & (np.cumsum(weight, axis=1) - weight <= spare[:, None] + slack)
+        size = np.where(need, places, 0)
+        for group in np.split(np.arange(len(part)), np.flatnonzero(np.diff(np.cumsum(size.sum(axis=1)) * k >> 21)) + 1):
+            r, c = np.nonzero(need[group])
+            r = group[r]
+            m = size[r, c]
+            off = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            q, r = index.posted[np.repeat(index.post[n[r, c]], m) + off], np.repeat(r, m)
+            starts = q[:, None] - np.arange(k)
+            window = np.where(starts >= 0, index.window_at[np.maximum(starts, 0)], -1)
+            # a window that starts before its shingle's part is none of that part's
+            r, q, window = np.repeat(r, k), np.repeat(q, k), window.ravel()
+            ok = window >= 0
+            pairs = np.unique(r[ok] * len(index.start) + window[ok])
+            r, window = pairs // len(index.start), pairs % len(index.start)
+            size_y = index.heavy[window]
+            ok = (size_y >= least * total[r] * (1 - slack)) & (total[r] >= least * size_y * (1 - slack))
+            r, window = r[ok], window[ok]
+            item = index.item[index.owner[window]]
+            pair = doc[part[r]] * numbers + item
+            done = np.array([d * numbers + ids[i] for d, i in best], np.int64)
+            new = ~np.isin(pair, done)
+            r, window = r[new], window[new]
+            if not len(r):
+                continue
+            span = np.arange(w)
+            for few in np.array_split(np.arange(len(r)), len(r) // 65536 + 1):
+                a, b = own[part[r[few], None] + span], index.words[index.start[window[few], None] + span]
+                sim = similarity(a, b, index)
+                ok = sim >= least
+                owner = index.ids[index.owner[window[few]]]
+                for d, i, e in zip(doc[part[r[few]]][ok].tolist(), owner[ok].tolist(), sim[ok].tolist()):
+                    best[d, i] = (False, max(best.get((d, i), (False, 0.0))[1], e))
+
+
+def _find(index: Index, buf: np.ndarray, offsets: np.ndarray, least: float, alike: bool = True) -> list[tuple[int, int, bool, float]]:
+    """(number of the text, item, whether a run is equal, best similarity) over texts that lie end to end.
+
+    Windows that are alike but beyond the radius are looked for only if ``alike``.
+    """
     h, start = words(buf, offsets[:-1])
     doc = np.searchsorted(offsets, start, side="right") - 1
     w, best = index.window, {}
@@ -190,8 +286,6 @@ def _find(index: Index, buf: np.ndarray, offsets: np.ndarray, least: float) -> l
         prints = simhash(own, w)
         whole = np.flatnonzero(doc[at : at + len(prints)] == doc[at + w - 1 : at + w - 1 + len(prints)])
         left, right = index.candidates(prints[whole])
-        if not len(left):
-            continue
         left = whole[left] + at
         span = np.arange(w)
         for part in np.array_split(np.arange(len(left)), len(left) // 65536 + 1):
@@ -204,10 +298,12 @@ def _find(index: Index, buf: np.ndarray, offsets: np.ndarray, least: float) -> l
             for d, i, e, s in zip(doc[left[part]][ok].tolist(), item[ok].tolist(), equal[ok].tolist(), sim[ok].tolist()):
                 was = best.get((d, i), (False, 0.0))
                 best[d, i] = (was[0] or e, max(was[1], s))
+        if alike:
+            _alike(index, own, doc[at:], whole, least, best)
     return [(d, i, e, s) for (d, i), (e, s) in best.items()]
 
 
-def _scan(shared, least: float):
+def _scan(shared, least: float, alike: bool):
     def scan(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
@@ -222,7 +318,7 @@ def _scan(shared, least: float):
             while first < len(text):  # slices of whole texts
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
                 own = offsets[first : last + 1]
-                found = _find(index, data[own[0] : own[-1]], own - own[0], least)
+                found = _find(index, data[own[0] : own[-1]], own - own[0], least, alike)
                 rows += [(first + d, i, e, s) for d, i, e, s in found]
                 first = last
             if rows:
@@ -260,15 +356,20 @@ def leaks(
     window: int = WINDOW,
     radius: int = RADIUS,
     least: float = SIMILARITY,
+    alike: bool = True,
 ) -> DataFrame:
-    """(doc_id, item_id, passage, similarity): items of which a document holds a window, alike or equal (passage)."""
+    """(doc_id, item_id, passage, similarity): items of which a document holds a window, alike or equal (passage).
+
+    All pairs with the least similarity are found, however far apart their fingerprints are; without ``alike`` all passages, but
+    of the rest only those within the radius. The similarity is the best of the windows compared, not of all.
+    """
     spark = docs.sparkSession
     read = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id bigint, item_id bigint, passage boolean, similarity double"
     found = []
     for block in item_blocks(items, item, list(parts)):
         shared = spark.sparkContext.broadcast(Index(block, window, radius))
-        found.append(read.mapInArrow(_scan(shared, least), schema))
+        found.append(read.mapInArrow(_scan(shared, least, alike), schema))
     if not found:
         return spark.createDataFrame([], schema)
     return (

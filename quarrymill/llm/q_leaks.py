@@ -11,7 +11,7 @@ from quarrymill.session import table
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with at least 25 consecutive words of an item's prompt or solution."""
-    got = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    got = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), alike=False)
     return got.where("passage").select("doc_id", "item_id")
 
 

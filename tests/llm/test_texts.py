@@ -122,6 +122,42 @@ def test_leaks(spark):
     assert leaks.leaks(corpus, evals.where("false")).count() == 0
 
 
+def test_all_alike_windows_are_found():
+    """Windows with other words at their ends or within, far beyond the radius: the same pairs as by comparing all windows."""
+    rnd = random.Random(11)
+    vocabulary, fixed = [f"w{i}" for i in range(300)], [f"c{i}" for i in range(14)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [(k // 2, " ".join(text(rnd.randrange(20, 30)) + fixed * (k % 3 == 0) + text(8) + ["x"] * (k % 4 * 9))) for k in range(24)]
+    index = leaks.Index(items)
+    docs = []
+    for d in range(160):
+        own = items[d % len(items)][1].split()
+        at = rnd.randrange(0, len(own) - 24)
+        cut = own[at : at + 25]
+        for _ in range(d % 4):
+            cut[rnd.choice([0, 1, -1, -2, -3, rnd.randrange(25)])] = rnd.choice(vocabulary)
+        if d % 5 == 0:
+            cut.insert(rnd.randrange(1, 25), "new")
+        docs.append(" ".join(text(rnd.randrange(0, 9)) + cut + text(rnd.randrange(0, 9))))
+    docs += ["x " * 60, "", "w1 " * 40, items[3][1], " ".join(fixed * 3)]
+    data = [t.encode() for t in docs]
+    offsets = np.cumsum([0, *map(len, data)])
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    want = set()
+    for d, t in enumerate(data):
+        h, _ = leaks.words(np.frombuffer(t, np.uint8), np.zeros(1, np.int64))
+        rows = [h[i : i + 25] for i in range(len(h) - 24)]
+        pairs = [(i, j) for i in range(len(rows)) for j in range(len(index.start))]
+        if pairs:
+            a = np.array([rows[i] for i, _ in pairs])
+            b = np.array([index.words[index.start[j] : index.start[j] + 25] for _, j in pairs])
+            sim = leaks.similarity(a, b, index)
+            want |= {(d, int(index.ids[index.owner[j]])) for (_, j), s in zip(pairs, sim) if s >= 0.8}
+    near = {x[:2] for x in leaks._find(index, buf, offsets, 0.8, alike=False)}
+    got = {x[:2] for x in leaks._find(index, buf, offsets, 0.8)}
+    assert got == want and len(near) < len(want)
+
+
 def kinds(text):
     return [(m[0], text[m[1] : m[2]]) for m in personal.mentions(text)]
 
