@@ -65,10 +65,13 @@ _CREDENTIALS = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/\"'<>]*$", re.I)
 _FILE_LIKE = re.compile(rf"\.(?:{_FILE_ENDINGS})$", re.I)
 _MAYBE_EMAIL = re.compile(r"@|＠|%40|&#64;|&commat;|[\[({<] ?(?:at|AT|At) ?[\])}>]")
 
-_NUMBER = re.compile(
-    r"(?<![\w@%#$.+\-/\\=&])(?:\+|\()?(?:[A-Z]{1,2}[ ]?)?\(?[0-9][A-Z0-9]*\)?(?:(?:[ .\-/]|[ ]?(?=\())?\(?[0-9][0-9A-Z]*\)?)*(?:[ ]?[A-Z](?![\w]))?"
+_NUMBER_FORM = (
+    r"(?:\+|\()?(?:[A-Z]{1,2}[ ]?)?\(?[0-9][A-Z0-9]*\)?(?:(?:[ .\-/]|[ ]?(?=\())?\(?[0-9][0-9A-Z]*\)?)*(?:[ ]?[A-Z](?![\w]))?"
     r"(?:[ ]?(?:ext\.?|x)[ ]?[0-9]{1,5})?(?![\w@%])"
 )
+_NUMBER = re.compile(r"(?<![\w@%#$.+\-/\\=&])" + _NUMBER_FORM)
+#: A number directly after such a mark is one only if what stands before the mark announces it.
+_MARKED_NUMBER = re.compile(r"[=#](" + _NUMBER_FORM + ")")
 _KEYED = re.compile(rf"(?:{_IDENTITY})\s*[:=#]?\s*[\"']?$", re.I)
 _CALLED = re.compile(r"(?<!\w)(?:tel(?:ephone)?|phone|fax|mobile|cell|call)(?:\s+(?:number|no))?\s*[.:=#]?\s*[\"']?$", re.I)
 _NAME = re.compile(rf"({_CAP})(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w))")
@@ -158,8 +161,15 @@ def mentions(text: str) -> list[tuple]:
         low, high = bounds(a)
         out.append((kind, a, b, x, y, _left(text, a, low), _right(text, b, high), seed))
 
-    for m in _NUMBER.finditer(text):
-        a, b = m.span()
+    marked = []
+    for m in _MARKED_NUMBER.finditer(text):
+        a, b = m.span(1)
+        if b - a >= 7 and (low := max(bounds(a)[0], a - 40)) < a and (_KEYED.search(text, low, a) or _CALLED.search(text, low, a)):
+            marked.append((a, b))
+    numbers = [m.span() for m in _NUMBER.finditer(text)]
+    if marked:
+        numbers = [*marked, *((a, b) for a, b in numbers if not any(c < b and a < d for c, d in marked))]
+    for a, b in numbers:
         if b - a < 7:
             continue
         if text[b - 1] == ")" and (text[a] == "(" and text.find(")", a) == b - 1 or text.count(")", a, b) > text.count("(", a, b)):

@@ -175,6 +175,20 @@ def test_candidates_and_seeds():
     assert personal.mentions("(959-15-6931)")[0][3] == "999-99-9999"
 
 
+def test_numbers_directly_after_a_mark():
+    numbers = lambda t: [(t[m[1] : m[2]], m[7]) for m in personal.mentions(t) if m[0] == "number"]
+    for t, n, seed in (
+        ("ssn=078-05-1120", "078-05-1120", "id_number"),
+        ("SSN #078-05-1120;", "078-05-1120", "id_number"),
+        ("phone=+15550100123", "+15550100123", "phone"),
+        ("a = 1\ntel=(555) 010-0123", "(555) 010-0123", "phone"),
+        ("mobile=5550100123&x=1", "5550100123", "phone"),
+    ):
+        assert numbers(t) == [(n, seed)], t
+    for t in ("size=078-05-1120", "issue #20240105", "ssn\n=078-05-1120", "cell=12", "x=(20240105)"):
+        assert all(seed is None for _, seed in numbers(t)) and not any(t[t.find(n) - 1] in "=#" for n, _ in numbers(t)), t
+
+
 GIVEN = ["Ann", "Bo", "Cyd", "Dee", "Eva", "Fay", "Gus", "Hal"]
 FAMILY = ["Ashdown", "Birling", "Corvane", "Delmar", "Estwick", "Farrow"]
 
