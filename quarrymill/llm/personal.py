@@ -20,15 +20,20 @@ their rows once per doc_id; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import logging
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.session import cut, write_once
 
+#: Rounds that accept mentions; the log says so if the last of them still changed something.
 ROUNDS = 5
 #: Accepted nodes of up to this many rows (about 40 bytes each) are broadcast.
 BROADCAST_NODES = 200_000
@@ -47,8 +52,24 @@ _STREET_ENDINGS = "strasse|straße|str|weg|gasse|allee|platz|ufer|vej|gade|gatan
 _STREET_PREFIXES = "rue|calle|via|avenida|rua|avenue|boulevard|chemin|place|plaza|piazza|ulica|ul"
 _TRAILERS = r"signed-off-by:|co-authored-by:|reviewed-by:|acked-by:|author:|@author|maintainer:|written\s+by|thanks\s+to|todo\(|fixme\("
 
-#: Upper case letters of the Latin and Cyrillic alphabets. Patterns begin with it, so that the search skips to the next one.
-_UP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ]"
+
+
+def _openers() -> str:
+    """Ranges of the letters beyond U+017E with which a name may begin: capitals, and letters of scripts without letter case."""
+    ranges, last = [], -2
+    for c in range(0x17F, sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))
+        if kind in ("Lu", "Lt") or kind == "Lo" and c > 0x24F or 0x10D0 <= c <= 0x10FF and kind == "Ll":  # Georgian is written without capitals
+            if c == last + 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+            last = c
+    return "".join(chr(a) + ("-" + chr(b) if b > a else "") for a, b in ranges)
+
+
+#: Letters with which a name may begin, of all scripts. Patterns begin with it, so that the search skips to the next one.
+_UP = rf"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ{_openers()}]"
 _CAP = rf"{_UP}[^\W\d_]*(?:['’\-][^\W\d_]+)*"
 _PARTICLE = r"(?:(?:[Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]en|[Dd]el|[Dd]i|[Dd]a|[Dd]u|[Ll]e|[Ll]a|[Tt]er|[Tt]en|[Ee]l|[Aa]l|VAN|VON|DE|DER|DEL|DI|DA|DU|LE|LA)[ ])"
 
@@ -282,6 +303,9 @@ class Bootstrap:
         )
         for _ in range(rounds):
             edges = cut(self._accept(edges, self._score(edges)))
+        self.settled = not rounds or edges.where("changed").isEmpty()
+        if not self.settled:
+            logging.getLogger(__name__).warning("round %d still changed accepted mentions", rounds)
         self.edges, self.nodes = edges, self._score(edges)
 
     @staticmethod
@@ -347,9 +371,12 @@ class Bootstrap:
         return F.when(F.col("graph") == "number", number).otherwise(pair)
 
     def _accept(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-        got = self._beside(edges.drop("kind", "kind_a", "kind_b"), nodes)
-        kind = F.coalesce("seed", self._decide()).alias("kind")
-        return got.select("graph", "a", "b", "before", "after", "n", "seed", kind, "kind_a", "kind_b")
+        state = ("kind", "kind_a", "kind_b")
+        was = {c: f"was_{c}" for c in state}
+        got = self._beside(edges.drop("changed").withColumnsRenamed(was), nodes)
+        got = got.withColumn("kind", F.coalesce("seed", self._decide()))
+        changed = ~reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(was[c])) for c in state))
+        return got.select("graph", "a", "b", "before", "after", "n", "seed", *state, changed.alias("changed"))
 
     def accepted(self) -> DataFrame:
         """Every accepted mention with its place."""

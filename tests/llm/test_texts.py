@@ -221,3 +221,15 @@ def test_bootstrap_finds_what_no_seed_names(spark):
     assert out[3] == re.sub(r"\d+ Elm Road", "[ADDRESS]", re.sub(r"\d+ rue Elm", "[ADDRESS]", dict(docs)[3]))
     assert all(out[d] == t for d, t in docs if d % 5 == 4 and d < 900)
     assert personal.Bootstrap(df.where("false")).places().count() == 0
+
+
+def test_names_of_other_scripts():
+    for name in ("Γιώργος Παπαδόπουλος", "محمد علي", "Șerban Țepeș", "דוד כהן", "Արամ Սարգսյան", "გიორგი ბერიძე"):
+        assert ("name", name, "name") in [(m[0], f"signed-off-by: {name}"[m[1] : m[2]], m[7]) for m in personal.mentions(f"signed-off-by: {name}")], name
+
+
+def test_rounds_that_end_early_are_told(spark, caplog):
+    df = spark.createDataFrame([(k, f"Signed-off-by: S{'abcdef'[k]} T{'abcdef'[k]}") for k in range(6)], "doc_id bigint, text string")
+    assert not personal.Bootstrap(df, rounds=1).settled and "round 1 still changed" in caplog.text
+    caplog.clear()
+    assert personal.Bootstrap(df).settled and "still changed" not in caplog.text
