@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm import setsketch
@@ -40,7 +40,8 @@ def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_joint_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Union, intersection and Jaccard similarity of the address sets of the regions, pair by stated pair."""
+    """Union, intersection and Jaccard similarity of the address sets of the regions: the stated pairs, and every region code (null
+    too) against the union of all others (right_region ``*``)."""
     base = cut(setsketch.merge(_daily(spark, d), ["region"]))
     parts = [
         setsketch.pair_up(
@@ -48,9 +49,23 @@ def p3_joint_regions(spark: SparkSession, d: str) -> DataFrame:
         ).select(F.lit(a).alias("left_region"), F.lit(b).alias("right_region"), "left_value", "right_value")
         for a, b in REGION_PAIRS
     ]
+    parts.append(_against_others(base))
     return setsketch.joint(reduce(DataFrame.unionByName, parts), ["left_region", "right_region"])
 
 
+def _against_others(base: DataFrame) -> DataFrame:
+    """Every region's registers beside the union of all others: the largest value of a register, or the second for its holder."""
+    along = Window.partitionBy("register").orderBy(F.desc("value"), "region")
+    top = base.where("register >= 0").select("register", "region", "value", F.row_number().over(along).alias("k"), F.lead("value").over(along).alias("next"))
+    top = top.where("k = 1").select("register", F.col("region").alias("holder"), F.col("value").alias("most"), "next")
+    grid = base.select(F.col("region").alias("left_region")).distinct().crossJoin(top)
+    own = base.withColumnRenamed("register", "at")
+    both = grid.join(own, F.col("left_region").eqNullSafe(F.col("region")) & (F.col("register") == F.col("at")), "left")
+    right = F.when(F.col("left_region").eqNullSafe(F.col("holder")), F.col("next")).otherwise(F.col("most"))
+    zero = F.lit(0).cast("smallint")
+    return both.select("left_region", F.lit("*").alias("right_region"), F.coalesce("value", zero).alias("left_value"), F.coalesce(right, zero).alias("right_value"))
+
+
 def p3_joint_days(spark: SparkSession, d: str) -> DataFrame:
     """Every day's address set against that of the day before."""
     day = cut(setsketch.merge(_daily(spark, d), ["order_date"])).where("order_date IS NOT NULL")

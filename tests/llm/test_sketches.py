@@ -132,3 +132,16 @@ def test_hot_keys_are_salted(spark, monkeypatch):
     real = ledger.max if hasattr(ledger, "max") else max
     monkeypatch.setattr(ledger, "max", lambda a, b: real(min(a, 10_000), 0), raising=False)
     assert ledger.copies(keyed, book).count() == 19_999
+
+
+def test_every_region_is_set_against_the_others(spark, tmp_path):
+    from quarrymill.llm import q_distinct
+
+    rows = [(r, f"u{i}") for r, a, b in (("EU", 0, 400), ("US", 300, 600), ("x", 0, 40), (None, 590, 700)) for i in range(a, b)]
+    spark.createDataFrame(rows, "region string, customer_email string").selectExpr("date'2026-01-01' AS order_date", "*").write.parquet(f"{tmp_path}/sales.parquet")
+    got = {r.left_region: r for r in q_distinct.p3_joint_regions(spark, str(tmp_path)).collect() if r.right_region == "*"}
+    assert set(got) == {"EU", "US", "x", None}
+    for g, r in got.items():
+        own, others = {e for x, e in rows if x == g}, {e for x, e in rows if x != g}
+        assert abs(r.left_count - len(own)) < 0.1 * len(own) + 2 and abs(r.right_count - len(others)) < 0.1 * len(others)
+        assert abs(r.both - len(own & others)) < 0.1 * len(own | others)
