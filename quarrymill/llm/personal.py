@@ -69,7 +69,8 @@ def _openers() -> str:
 
 
 #: Letters with which a name may begin, of all scripts. Patterns begin with it, so that the search skips to the next one.
-_UP = rf"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ{_openers()}]"
+_UP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ]"
+_UP_ANY = rf"{_UP[:-1]}{_openers()}]"
 _CAP = rf"{_UP}[^\W\d_]*(?:['’\-][^\W\d_]+)*"
 _PARTICLE = r"(?:(?:[Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]en|[Dd]el|[Dd]i|[Dd]a|[Dd]u|[Ll]e|[Ll]a|[Tt]er|[Tt]en|[Ee]l|[Aa]l|VAN|VON|DE|DER|DEL|DI|DA|DU|LE|LA)[ ])"
 
@@ -107,6 +108,9 @@ _WORD_BEFORE = re.compile(r"(?<!\w)([^\W\d_A-Z]{2,9})[ ](?:(?:de|du|des|la|del)[
 _COMPOUND = re.compile(rf"^(.{{3,}}?)(?:[ \-])?({_STREET_ENDINGS})$", re.I)
 _STREET = re.compile(rf"^(?:{_STREET_WORDS})$", re.I)
 _PREFIX = re.compile(rf"^(?:{_STREET_PREFIXES})$", re.I)
+_LATIN = (_NAME, _INITIAL, _TRAILED, _BEFORE, _AFTER)
+#: The same for letters of all scripts, which take longer and are for texts that hold such letters.
+_ANY = tuple(re.compile(p.pattern.replace(_UP, _UP_ANY), p.flags) for p in _LATIN)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|[\t]")
 
 
@@ -182,6 +186,7 @@ def mentions(text: str) -> list[tuple]:
         low, high = bounds(a)
         out.append((kind, a, b, x, y, _left(text, a, low), _right(text, b, high), seed))
 
+    name_form, initial_form, trailed_form, before_form, after_form = _LATIN if text.isascii() or max(text) < "\u017f" else _ANY
     marked = []
     for m in _MARKED_NUMBER.finditer(text):
         a, b = m.span(1)
@@ -212,7 +217,7 @@ def mentions(text: str) -> list[tuple]:
         else:
             seed = None
         add("number", a, b, shape, re.sub(r"[ \-]", "", shape), seed)
-    for m in _NAME.finditer(text):
+    for m in name_form.finditer(text):
         a, b = m.start(), m.end(4)
         if not _free(text, a, "@%-"):
             continue
@@ -223,15 +228,15 @@ def mentions(text: str) -> list[tuple]:
         if p := _PARTICLES.search(text, max(low, a - 12), a):
             a, first = p.start(), text[p.start() : a] + first
         given, family = (last, first) if comma else (first, last)
-        seed = "name" if _TRAILED.search(text, max(low, a - 40), a) else None
+        seed = "name" if trailed_form.search(text, max(low, a - 40), a) else None
         add("name", a, b, "g:" + given.lower(), "f:" + family.lower(), seed)
-    for m in _INITIAL.finditer(text):
+    for m in initial_form.finditer(text):
         if not _free(text, m.start(), ".@%-"):
             continue
         low, _ = bounds(m.start())
-        seed = "name" if _TRAILED.search(text, max(low, m.start() - 40), m.start()) else None
+        seed = "name" if trailed_form.search(text, max(low, m.start() - 40), m.start()) else None
         add("name", m.start(), m.end(), "", "f:" + m.group(2).lower(), seed)
-    for m in _BEFORE.finditer(text):
+    for m in before_form.finditer(text):
         words = m.group(3).split(" ")
         if m.group(2):
             stem, form, end = words[0], f"{m.group(2).lower()} _", m.start(3) + len(words[0])
@@ -241,7 +246,7 @@ def mentions(text: str) -> list[tuple]:
             end = m.start(3) + len(" ".join(words[: k + 1]))
             seed = "address" if _STREET.match(words[k]) else None
             add("address", m.start(), end, "s:" + " ".join(words[:k]).lower(), "_ " + words[k].lower(), seed)
-    for m in _AFTER.finditer(text):
+    for m in after_form.finditer(text):
         if not _free(text, m.start(), ""):
             continue
         words, (low, _) = m.group(1), bounds(m.start())
