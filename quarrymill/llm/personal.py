@@ -11,11 +11,19 @@
 
 Mail addresses are recognised by their own form, plain or disguised, and need no graph.
 The graph is aggregated before every join; accepted nodes are broadcast only below a checked number of rows, else joined by
-a shuffle. Texts are never cut.
+a shuffle. Texts are never cut, and every pattern takes time in proportion to the text: parts of a number need a mark between
+them, runs of letters are taken whole, and no match begins inside a word.
+
+Texts are redacted where they were read: the scan that extracts candidates also stores the texts with their candidates, and a second
+scan decides them by the broadcast nodes, so no text is shuffled (beyond the checked number of nodes texts meet their spans by row number).
+
+What is a number here: 6 to 20 digits and 7 characters; after the name of an identity document 4 digits and 5 characters. A house
+number has at most 5 digits before a street and 4 behind it.
 
 Defined results: null and empty texts give no mention; lines are divided at LF and counted from 1; a mention never
 crosses a line end; several mentions of a kind in a line are one row of ``places``; repeated documents give
-their rows once per doc_id; an empty table gives an empty result; other columns may have any name.
+their rows once per doc_id, and each of their texts is redacted by its own mentions, as are texts without a doc_id; mentions that overlap are
+replaced together by one placeholder, of the longest one's kind; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,8 +41,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.session import cut, write_once
 
-#: Rounds that accept mentions; the log says so if the last of them still changed something.
-ROUNDS = 5
+#: Rounds go on until one changes nothing; the log says so if after this many the last still changed something.
+ROUNDS = 20
 #: Accepted nodes of up to this many rows (about 40 bytes each) are broadcast.
 BROADCAST_NODES = 200_000
 
@@ -68,27 +76,32 @@ def _openers() -> str:
     return "".join(chr(a) + ("-" + chr(b) if b > a else "") for a, b in ranges)
 
 
-#: Letters with which a name may begin, of all scripts. Patterns begin with it, so that the search skips to the next one.
+#: Letters with which a name may begin, of all scripts. Patterns begin with it, so that the search skips to the next one, and look back
+#: from there: a match within a word or behind a hyphen is never wanted, and trying it at every letter of a long word would take long.
 _UP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ]"
 _UP_ANY = rf"{_UP[:-1]}{_openers()}]"
-_CAP = rf"{_UP}[^\W\d_]*(?:['’\-][^\W\d_]+)*"
+_WORD_REST = r"[^\W\d_]*+(?:['’\-][^\W\d_]++)*"
+_CAP = rf"{_UP}{_WORD_REST}"
+_INSIDE = r"(?<![^\W_]['’][\s\S])"
 _PARTICLE = r"(?:(?:[Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]en|[Dd]el|[Dd]i|[Dd]a|[Dd]u|[Ll]e|[Ll]a|[Tt]er|[Tt]en|[Ee]l|[Aa]l|VAN|VON|DE|DER|DEL|DI|DA|DU|LE|LA)[ ])"
 
 _DOT = r"(?:\.|[^\S\n]?[\[({]\s?(?:dot|DOT|Dot)\s?[\])}][^\S\n]?|[^\S\n](?:dot|DOT)[^\S\n])"
 _HARD_AT = r"(?:@|＠|%40|&#64;|&commat;|[^\S\n]?[\[({<]\s?(?:at|AT|At|@)\s?[\])}>][^\S\n]?|[^\S\n]@[^\S\n])"
-_LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._+\-]*[A-Za-z0-9_])?"
-_DOMAIN = rf"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*{_DOT}[A-Za-z]{{2,24}}"
-_EMAIL = re.compile(rf"(?<![A-Za-z0-9._+\-]){_LOCAL}{_HARD_AT}{_DOMAIN}(?![A-Za-z0-9_\-])")
+_LOCAL = r"[^\W_](?:[\w.+\-]*\w)?"
+_LABEL = r"[^\W_](?:(?:[^\W_]|-)*[^\W_])?"
+_DOMAIN = rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,24}}"
+_EMAIL = re.compile(rf"(?<![\w.+\-]){_LOCAL}{_HARD_AT}{_DOMAIN}(?![\w\-])")
 _SOFT_EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9._+\-]){_LOCAL}[^\S\n](?:at|AT)[^\S\n][A-Za-z0-9\-]+(?:[^\S\n](?:dot|DOT)[^\S\n][A-Za-z0-9\-]+)+(?![A-Za-z0-9_\-])"
+    rf"(?<![\w.+\-]){_LOCAL}[^\S\n](?:at|AT)[^\S\n][\w\-]+(?:[^\S\n](?:dot|DOT)[^\S\n][\w\-]+)+(?![\w\-])"
 )
 _COMMON_ENDING = re.compile(r"\s(?:com|org|net|edu|gov|io|dev|info|example|test|invalid|uk|de|fr|nl|it|es|pl|eu|us|ca|au|jp|in|br|ch|at|se|no|dk|fi)$", re.I)
-_CREDENTIALS = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/\"'<>]*$", re.I)
+_CREDENTIALS = re.compile(r"(?<=[A-Za-z0-9+.\-])://[^\s/\"'<>]*")
 _FILE_LIKE = re.compile(rf"\.(?:{_FILE_ENDINGS})$", re.I)
 _MAYBE_EMAIL = re.compile(r"@|＠|%40|&#64;|&commat;|[\[({<] ?(?:at|AT|At) ?[\])}>]")
 
+_RUN = r"[0-9][0-9A-Z]*+\)?"
 _NUMBER_FORM = (
-    r"(?:\+|\()?(?:[A-Z]{1,2}[ ]?)?\(?[0-9][A-Z0-9]*\)?(?:(?:[ .\-/]|[ ]?(?=\())?\(?[0-9][0-9A-Z]*\)?)*(?:[ ]?[A-Z](?![\w]))?"
+    rf"(?:\+|\()?(?:[A-Z]{{1,2}}[ ]?)?\(?{_RUN}(?:(?:[ .\-/]\(?|[ ]?\(|(?<=\))){_RUN})*(?:[ ]?[A-Z](?![\w]))?"
     r"(?:[ ]?(?:ext\.?|x)[ ]?[0-9]{1,5})?(?![\w@%])"
 )
 _NUMBER = re.compile(r"(?<![\w@%#$.+\-/\\=&])" + _NUMBER_FORM)
@@ -96,19 +109,23 @@ _NUMBER = re.compile(r"(?<![\w@%#$.+\-/\\=&])" + _NUMBER_FORM)
 _MARKED_NUMBER = re.compile(r"[=#](" + _NUMBER_FORM + ")")
 _KEYED = re.compile(rf"(?:{_IDENTITY})\s*[:=#]?\s*[\"']?$", re.I)
 _CALLED = re.compile(r"(?<!\w)(?:tel(?:ephone)?|phone|fax|mobile|cell|call)(?:\s+(?:number|no))?\s*[.:=#]?\s*[\"']?$", re.I)
-_NAME = re.compile(rf"({_CAP})(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w))")
+_NAME = re.compile(
+    rf"({_UP}(?<![\w@%\-][\s\S]){_INSIDE}{_WORD_REST}+)(?=(,?)[ ]((?:{_UP}\.[ ])?)({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w))"
+)
 _INITIAL = re.compile(rf"({_UP})\.[ ](?:{_UP}\.[ ])?({_PARTICLE}{{0,2}}{_CAP})(?![\w@]|['’]\w)")
+#: What follows a street, but not a given name after a comma.
+_NUMBERED = re.compile(rf"(?:[ ]{_CAP}){{0,2}}\.?\s[0-9]")
 _PARTICLES = re.compile(rf"(?<![\w'’@%\-]){_PARTICLE}{{1,2}}$")
 _TRAILED = re.compile(rf"(?:{_TRAILERS})\s*(?:(?:Dr|Prof|Mr|Mrs|Ms)\.\s)?(?:{_UP}\.\s)?$", re.I)
 _BEFORE = re.compile(
-    rf"(?<![\w.\-/:@])([0-9]{{1,4}}[a-z]?)[ ](?:([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?({_CAP}(?:[ ]{_CAP}){{0,3}})(\.?)"
+    rf"(?<![\w.\-/:@])([0-9]{{1,5}}[a-z]?)[ ](?:([^\W\d_A-Z]{{2,9}})[ ](?:(?:de|du|des|la|del)[ ])*)?({_CAP}(?:[ ]{_CAP}){{0,3}})(\.?)"
 )
-_AFTER = re.compile(rf"({_CAP}(?:[ ]{_CAP}){{0,2}})(\.?)[ ]([0-9]{{1,4}}[a-z]?)(?![\w.\-/:])")
+_AFTER = re.compile(rf"({_UP}(?<![\w][\s\S])(?<![^\W\d_]-[\s\S]){_INSIDE}{_WORD_REST}(?:[ ]{_CAP}){{0,2}})(\.?)[ ]([0-9]{{1,4}}[a-z]?)(?![\w.\-/:])")
 _WORD_BEFORE = re.compile(r"(?<!\w)([^\W\d_A-Z]{2,9})[ ](?:(?:de|du|des|la|del)[ ])*$")
 _COMPOUND = re.compile(rf"^(.{{3,}}?)(?:[ \-])?({_STREET_ENDINGS})$", re.I)
 _STREET = re.compile(rf"^(?:{_STREET_WORDS})$", re.I)
 _PREFIX = re.compile(rf"^(?:{_STREET_PREFIXES})$", re.I)
-_LATIN = (_NAME, _INITIAL, _TRAILED, _BEFORE, _AFTER)
+_LATIN = (_NAME, _INITIAL, _TRAILED, _BEFORE, _AFTER, _NUMBERED)
 #: The same for letters of all scripts, which take longer and are for texts that hold such letters.
 _ANY = tuple(re.compile(p.pattern.replace(_UP, _UP_ANY), p.flags) for p in _LATIN)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|[\t]")
@@ -119,19 +136,41 @@ def _norm(t: str) -> str:
 
 
 def _left(text: str, at: int, low: int) -> str:
-    got = _TOKEN.findall(text, max(low, at - 40), at)[-2:]
+    """The last one or two tokens before a place of its line, however long they are."""
+    reach = 40
+    while True:
+        start = max(low, at - reach)
+        got = _TOKEN.findall(text, start, at)
+        if start == low or len(got) > 2:
+            break
+        reach *= 4
+    got = got[-2:]
     if not got:
         return "^"
     return _norm(got[-1]) if got[-1][0].isalpha() else " ".join(map(_norm, got if len(got) > 1 else ["^", *got]))
 
 
 def _right(text: str, at: int, high: int) -> str:
-    got = _TOKEN.findall(text, at, min(high, at + 40))[:2]
+    reach = 40
+    while True:
+        end = min(high, at + reach)
+        got = _TOKEN.findall(text, at, end)
+        if end == high or len(got) > 2:
+            break
+        reach *= 4
+    got = got[:2]
     if not got:
         return "$"
     return _norm(got[0]) if got[0][0].isalpha() else " ".join(map(_norm, got if len(got) > 1 else [*got, "$"]))
 
 
+def _word_end(text: str, at: int, low: int) -> int:
+    """The place behind the last character before ``at`` that is neither blank nor a mark between a label and its value."""
+    while at > low and text[at - 1] in " \t:=#\"'":
+        at -= 1
+    return at
+
+
 def _free(text: str, at: int, marks: str) -> bool:
     """Whether a word may begin here: not within a word, after one of the marks or after an apostrophe within a word."""
     before = text[at - 1 : at]
@@ -148,22 +187,37 @@ def emails(text: str) -> list[tuple[int, int]]:
             continue
         low, done = text.rfind("\n", 0, hint.start()) + 1, text.find("\n", hint.end())
         done = len(text) if done < 0 else done
+        urls = [m.span() for m in _CREDENTIALS.finditer(text, low, done)]
+        k = 0
         for m in _EMAIL.finditer(text, low, done):
             a, b = m.span()
-            if _FILE_LIKE.search(m.group()):
-                continue
-            if _CREDENTIALS.search(text, low, a) or text[a - 1 : a] == "@":
+            while k < len(urls) and urls[k][1] < a:
+                k += 1
+            if _FILE_LIKE.search(m.group()) or k < len(urls) and urls[k][0] < a or text[a - 1 : a] == "@":
                 continue
             spans.append((a, b))
     if " DOT " in text or " dot " in text:
+        taken = _Spans(spans)
         for m in _SOFT_EMAIL.finditer(text):
             # in small letters the words are ordinary ones: an odd mailbox or a common ending must say that it is an address
             sure = " DOT " in m.group() or re.search(r"[0-9._+\-]", m.group().split(" ")[0]) or _COMMON_ENDING.search(m.group())
-            if sure and not any(a < m.end() and m.start() < b for a, b in spans):
+            if sure and not taken.touch(*m.span()):
                 spans.append(m.span())
     return spans
 
 
+class _Spans:
+    """Spans of a text that do not overlap each other, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def touch(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+
 def mentions(text: str) -> list[tuple]:
     """(kind of graph, start, end, node a, node b, left, right, seed class) of every candidate in a text."""
     out: list[tuple] = []
@@ -186,33 +240,44 @@ def mentions(text: str) -> list[tuple]:
         low, high = bounds(a)
         out.append((kind, a, b, x, y, _left(text, a, low), _right(text, b, high), seed))
 
-    name_form, initial_form, trailed_form, before_form, after_form = _LATIN if text.isascii() or max(text) < "\u017f" else _ANY
+    name_form, initial_form, trailed_form, before_form, after_form, numbered_form = _LATIN if text.isascii() or max(text) < "\u017f" else _ANY
     marked = []
     for m in _MARKED_NUMBER.finditer(text):
         a, b = m.span(1)
-        if b - a >= 7 and (low := max(bounds(a)[0], a - 40)) < a and (_KEYED.search(text, low, a) or _CALLED.search(text, low, a)):
+        if b - a < 5:
+            continue
+        low = max(bounds(a)[0], (p := _word_end(text, a, bounds(a)[0])) - 48)
+        if p > low and (_KEYED.search(text, low, a) or b - a >= 7 and _CALLED.search(text, low, a)):
             marked.append((a, b))
     numbers = [m.span() for m in _NUMBER.finditer(text)]
     if marked:
-        numbers = [*marked, *((a, b) for a, b in numbers if not any(c < b and a < d for c, d in marked))]
+        taken = _Spans(marked)
+        numbers = [*marked, *(x for x in numbers if not taken.touch(*x))]
     for a, b in numbers:
-        if b - a < 7:
+        if b - a < 5:
             continue
         if text[b - 1] == ")" and (text[a] == "(" and text.find(")", a) == b - 1 or text.count(")", a, b) > text.count("(", a, b)):
             b -= 1
         if text[a] == "(" and text.find(")", a, b) < 0:
             a += 1
+        low = bounds(a)[0]
+        end = _word_end(text, a, low)
+        # the label of a number ends in a letter or a full stop
+        named = end > low and (text[end - 1].isalpha() or text[end - 1] == ".")
+        if b - a < 7 and not named:
+            continue
         s = text[a:b]
         digits = sum(c.isdigit() for c in s)
-        if not 6 <= digits <= 20 or len(s) < 7:
+        low = max(low, end - 48)
+        keyed = named and 4 <= digits <= 20 and len(s) >= 5 and _KEYED.search(text, low, a)
+        if not keyed and (not 6 <= digits <= 20 or len(s) < 7):
             continue
-        low, _ = bounds(a)
         shape = re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", re.sub(r"[ ]?(?:ext\.?|x)[ ]?[0-9]+$", "", s)))
-        if _KEYED.search(text, max(low, a - 40), a):
+        if keyed:
             seed = "id_number"
-        elif 7 <= digits <= 15 and _CALLED.search(text, max(low, a - 40), a):
+        elif 7 <= digits <= 15 and named and _CALLED.search(text, low, a):
             seed = "phone"
-        elif re.match(r"(?:\+|00)[1-9][0-9]{0,2}[ .\-(]|\+[1-9][0-9]{9,13}$", s) and digits >= 9:
+        elif re.match(r"(?:\+|00)(?:[17]|[2-9][0-9]{1,2})[ .\-(]|\+[1-9][0-9]{9,13}$", s) and digits >= 9:
             seed = "phone"
         else:
             seed = None
@@ -222,19 +287,19 @@ def mentions(text: str) -> list[tuple]:
         if not _free(text, a, "@%-"):
             continue
         first, comma, _, last = m.groups()
-        if comma and re.match(r"\s[0-9]", text[b : b + 2]):
+        if comma and numbered_form.match(text, b):
             continue  # a flat, a unit or a street after a name
         low, _ = bounds(a)
         if p := _PARTICLES.search(text, max(low, a - 12), a):
             a, first = p.start(), text[p.start() : a] + first
         given, family = (last, first) if comma else (first, last)
-        seed = "name" if trailed_form.search(text, max(low, a - 40), a) else None
+        seed = "name" if trailed_form.search(text, max(low, _word_end(text, a, low) - 40), a) else None
         add("name", a, b, "g:" + given.lower(), "f:" + family.lower(), seed)
     for m in initial_form.finditer(text):
         if not _free(text, m.start(), ".@%-"):
             continue
         low, _ = bounds(m.start())
-        seed = "name" if trailed_form.search(text, max(low, m.start() - 40), m.start()) else None
+        seed = "name" if trailed_form.search(text, max(low, _word_end(text, m.start(), low) - 40), m.start()) else None
         add("name", m.start(), m.end(), "", "f:" + m.group(2).lower(), seed)
     for m in before_form.finditer(text):
         words = m.group(3).split(" ")
@@ -257,28 +322,37 @@ def mentions(text: str) -> list[tuple]:
     return out
 
 
-_MENTION = (
-    "doc_id bigint, line_no bigint, at bigint, upto bigint, graph string, a string, b string, before string, after string, seed string"
-)
+_FIELDS = ("line_no bigint", "at bigint", "upto bigint", "graph string", "a string", "b string", "before string", "after string", "seed string")
+_FOUND = "array<struct<" + ", ".join(f.replace(" ", ": ") for f in _FIELDS) + ">>"
 
 
-def _extract(batches: Iterable) -> Iterator:
+def _extract(batches: Iterable, keep: bool) -> Iterator:
+    """A row per text with its candidates; texts without any are left out unless texts are kept."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    types = [pa.int64()] * 4 + [pa.string()] * 6
-    names = [c.split()[0] for c in _MENTION.split(", ")]
+    types = [pa.int64()] * 3 + [pa.string()] * 6
+    names = [f.split()[0] for f in _FIELDS]
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        rows = []
-        for d, t in zip(ids, texts):
-            if not t:
-                continue
+        picked, sizes, found = [], [0], []
+        for k, t in enumerate(batch.column(1).to_pylist()):
             line, at = 1, 0
-            for m in sorted(mentions(t), key=lambda m: m[1]):
+            for m in sorted(mentions(t), key=lambda m: m[1]) if t else ():
                 line, at = line + t.count("\n", at, m[1]), m[1]
-                rows.append((d, line, m[1], m[2], m[0], *m[3:]))
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                found.append((line, m[1], m[2], m[0], *m[3:]))
+            if keep or len(found) > sizes[-1]:
+                picked.append(k)
+                sizes.append(len(found))
+        if not picked:
+            continue
+        values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 9, types)], names=names)
+        own = [pa.array([row + k for k in range(len(picked))], pa.int64()), batch.column(0).take(pa.array(picked))]
+        own += [batch.column(1)] if keep else []
+        row += len(picked)
+        yield pa.record_batch(
+            [*own, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], names=["row", "doc_id", *(["text"] if keep else []), "found"]
+        )
 
 
 def _maybe_broadcast(nodes: DataFrame) -> DataFrame:
@@ -295,27 +369,31 @@ PURE = 0.9
 
 
 class Bootstrap:
-    """Candidate mentions of a table of texts and the rounds that accept them."""
+    """Candidate mentions of a table of texts and the rounds that accept them; with ``keep`` the texts can be redacted."""
 
-    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", rounds: int = ROUNDS):
-        read = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-        self.mentions = write_once(read.mapInArrow(_extract, _MENTION), "mentions")
+    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", rounds: int = ROUNDS, keep: bool = False):
+        read = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        schema = f"row bigint, doc_id bigint, {'text string, ' if keep else ''}found {_FOUND}"
+        self.keep, self.texts = keep, write_once(read.mapInArrow(lambda b: _extract(b, keep), schema), "mentions")
+        self.mentions = self.texts.select("row", "doc_id", F.inline("found"))
         edges = cut(
             self.mentions.where("graph <> 'email'")
             .groupBy("graph", "a", "b", "before", "after")
             .agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-            .withColumns({"kind": F.col("seed"), "kind_a": F.lit(None).cast("string"), "kind_b": F.lit(None).cast("string")})
+            .withColumns({"kind": F.col("seed"), "kind_a": F.lit(None).cast("string"), "kind_b": F.lit(None).cast("string"), "near": F.lit(False)})
         )
+        self.settled = not rounds
         for _ in range(rounds):
             edges = cut(self._accept(edges, self._score(edges)))
-        self.settled = not rounds or edges.where("changed").isEmpty()
+            if self.settled := edges.where("changed").isEmpty():
+                break
         if not self.settled:
             logging.getLogger(__name__).warning("round %d still changed accepted mentions", rounds)
         self.edges, self.nodes = edges, self._score(edges)
 
     @staticmethod
     def _score(edges: DataFrame) -> DataFrame:
-        """(graph, side, node, kind, share): accepted nodes."""
+        """(graph, side, node, kind, share, near): accepted nodes, and shapes of numbers (near) that stand in accepted patterns."""
         pair = F.when(F.col("graph") != "number", F.col("graph"))
 
         def side(s: str, c: str, other: str | None) -> Column:
@@ -325,12 +403,14 @@ class Bootstrap:
         sides = F.array(
             side("a", "a", "kind_b"), side("b", "b", "kind_a"), side("l", "before", None), side("r", "after", None)
         )
-        long = edges.select("graph", "n", "kind", F.explode(sides).alias("x")).where("x.node <> ''")
+        long = edges.select("graph", "n", "kind", "near", F.explode(sides).alias("x")).where("x.node <> ''")
         sums = long.groupBy("graph", "x.side", "x.node", "kind").agg(
             F.sum("n").alias("n"),
             F.count("*").alias("edges"),
             F.sum(F.when(F.col("x.partner").isNotNull(), F.col("n")).otherwise(0)).alias("beside"),
             F.count("x.partner").alias("partners"),
+            F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)).alias("near"),
+            F.count_if("near").alias("nears"),
         )
         own = F.col("kind").isNotNull()
         whole = sums.groupBy("graph", "side", "node").agg(
@@ -340,6 +420,8 @@ class Bootstrap:
             F.sum(F.when(own, F.col("n")).otherwise(0)).alias("known"),
             F.sum("beside").alias("beside"),
             F.sum("partners").alias("partners"),
+            F.sum("near").alias("near"),
+            F.sum("nears").alias("nears"),
         )
         share = F.coalesce(F.col("best.n"), F.lit(0)) / F.col("total")
         instance = F.col("side").isin("a", "b")
@@ -348,73 +430,107 @@ class Bootstrap:
             (share >= PATTERN_SHARE) & (F.col("support") >= PATTERN_LEAST) & (F.col("best.n") >= PURE * F.col("known"))
         )
         by_partner = instance & (F.col("beside") / F.col("total") >= PARTNER_SHARE) & (F.col("partners") >= PARTNER_LEAST)
+        near = (F.col("graph") == "number") & (F.col("side") == "a") & (F.col("near") / F.col("total") >= INSTANCE_SHARE) & (F.col("nears") >= NUMBER_LEAST)
+        kind = F.when(by_share, F.col("best.kind")).when(by_partner, F.col("graph"))
         return cut(
-            whole.where(by_share | by_partner).select(
-                "graph", "side", "node", F.when(by_share, F.col("best.kind")).otherwise(F.col("graph")).alias("kind"), share.alias("share")
-            )
+            whole.where(by_share | by_partner | near).select("graph", "side", "node", kind.alias("kind"), share.alias("share"), near.alias("near"))
         )
 
     @staticmethod
     def _beside(df: DataFrame, nodes: DataFrame) -> DataFrame:
         """Adds the kind of each side's accepted node."""
         for side, c in (("a", "a"), ("b", "b"), ("l", "before"), ("r", "after")):
-            own = nodes.where(F.col("side") == side).select("graph", F.col("node").alias(c), F.col("kind").alias(f"kind_{side}"))
+            more = [F.col("near").alias("near_a")] if side == "a" else []
+            own = nodes.where(F.col("side") == side).select("graph", F.col("node").alias(c), F.col("kind").alias(f"kind_{side}"), *more)
             df = df.join(_maybe_broadcast(own), ["graph", c], "left")
         return df
 
     @staticmethod
     def _decide() -> Column:
         """The kind of a mention by its accepted nodes, or null: for names and streets both instances, or one of them in an
-        accepted pattern; for numbers the exact shape, the shape without blanks, or the pattern."""
+        accepted pattern; for numbers the shape, or the same shape without blanks if this one is known from accepted patterns, or the pattern."""
         both = F.col("kind_a").isNotNull() & F.col("kind_b").isNotNull()
         one = F.col("kind_a").isNotNull() | F.col("kind_b").isNotNull()
         context = F.col("kind_l").isNotNull() | F.col("kind_r").isNotNull()
         by_initial = (F.col("a") == "") & F.col("kind_b").isNotNull()
         pair = F.when(both | by_initial | (one & context), F.col("graph"))
-        compact = F.when(F.col("kind_b") == "id_number", F.col("kind_b"))  # telephone numbers are written with their blanks
-        number = F.coalesce("kind_a", compact, "kind_l", "kind_r")
-        return F.when(F.col("graph") == "number", number).otherwise(pair)
+        # telephone numbers are written with their blanks
+        compact = F.when((F.col("kind_b") == "id_number") & (F.coalesce("near_a", F.lit(False)) | context), F.col("kind_b"))
+        return F.when(F.col("graph") == "number", F.coalesce("kind_a", compact, "kind_l", "kind_r")).otherwise(pair)
 
     def _accept(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = ("kind", "kind_a", "kind_b")
         was = {c: f"was_{c}" for c in state}
-        got = self._beside(edges.drop("changed").withColumnsRenamed(was), nodes)
-        got = got.withColumn("kind", F.coalesce("seed", self._decide()))
+        got = self._beside(edges.drop("changed", "near").withColumnsRenamed(was), nodes)
+        got = got.withColumns({"kind": F.coalesce("seed", self._decide()), "near": F.col("kind_l").isNotNull() | F.col("kind_r").isNotNull()})
         changed = ~reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(was[c])) for c in state))
-        return got.select("graph", "a", "b", "before", "after", "n", "seed", *state, changed.alias("changed"))
+        return got.select("graph", "a", "b", "before", "after", "n", "seed", *state, "near", changed.alias("changed"))
 
-    def accepted(self) -> DataFrame:
-        """Every accepted mention with its place."""
-        mail = self.mentions.where("graph = 'email'").select("doc_id", "line_no", "at", "upto", F.lit("email").alias("kind"))
+    def _decided(self) -> DataFrame:
+        """Every mention that is accepted, with the row of its text."""
+        columns = ("row", "doc_id", "line_no", "at", "upto")
+        mail = self.mentions.where("graph = 'email'").select(*columns, F.lit("email").alias("kind"))
         rest = self._beside(self.mentions.where("graph <> 'email'"), self.nodes)
         rest = rest.withColumn("kind", F.coalesce("seed", self._decide())).where("kind IS NOT NULL")
         return mail.unionByName(rest.select(*mail.columns))
 
+    def accepted(self) -> DataFrame:
+        """Every accepted mention with its place."""
+        return self._decided().drop("row")
+
     def places(self) -> DataFrame:
         """(doc_id, line_no, kind), once each."""
         return self.accepted().select("doc_id", "line_no", "kind").distinct()
 
+    def redacted(self) -> DataFrame:
+        """(doc_id, text) of every text, with a typed placeholder at its accepted mentions and otherwise unchanged."""
+        if not self.keep:
+            raise ValueError("the texts were not kept")
+        nodes = self.nodes.select("graph", "side", "node", "kind", "near").limit(BROADCAST_NODES + 1).collect()
+        if len(nodes) <= BROADCAST_NODES:
+            shared = self.texts.sparkSession.sparkContext.broadcast({(r.graph, r.side, r.node): (r.kind, r.near) for r in nodes})
+            return self.texts.select("doc_id", "text", "found").mapInArrow(lambda b: _replace_all(b, lambda m: _kind_of(m, shared.value)), _REDACTED)
+        spans = self._decided().groupBy("row").agg(F.collect_list(F.struct("at", "upto", "kind")).alias("found"))
+        beside = self.texts.select("row", "doc_id", "text").join(spans, "row", "left")
+        return beside.select("doc_id", "text", "found").mapInArrow(lambda b: _replace_all(b, lambda m: m["kind"]), _REDACTED)
+
+
+_REDACTED = "doc_id bigint, text string"
+
+
+def _kind_of(m: dict, nodes: dict) -> str | None:
+    """What ``Bootstrap._decide`` says, for a single mention."""
+    graph = m["graph"]
+    if m["seed"] or graph == "email":
+        return m["seed"]
+    nothing = (None, False)
+    sides = (("a", "a"), ("b", "b"), ("l", "before"), ("r", "after"))
+    (a, near), (b, _), (left, _), (right, _) = (nodes.get((graph, side, m[c]), nothing) for side, c in sides)
+    if graph == "number":
+        return a or (b if b == "id_number" and (near or left or right) else None) or left or right
+    return graph if a and b or not m["a"] and b or (a or b) and (left or right) else None
+
+
+def replace_spans(text: str, spans: Iterable[tuple[int, int, str]]) -> str:
+    """The text with a placeholder for every span; spans that overlap are one, of the kind of the longest (of these the first)."""
+    parts, done, low, high, best = [], 0, 0, -1, (0, "")
+    for a, b, kind in [*sorted(spans, key=lambda s: (s[0], -s[1])), (len(text) + 1, len(text) + 1, "")]:
+        if a < high:
+            high, best = max(high, b), max(best, (b - a, kind), key=lambda x: x[0])
+            continue
+        if high >= 0:
+            parts += [text[done:low], f"[{best[1].upper()}]"]
+            done = high
+        low, high, best = a, b, (b - a, kind)
+    return "".join([*parts, text[done:]])
+
+
+def _replace_all(batches: Iterable, kind_of) -> Iterator:
+    import pyarrow as pa
 
-def redact(docs: DataFrame, accepted: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text): the texts with a typed placeholder at each accepted mention and otherwise unchanged."""
-    spans = accepted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "upto", "kind")).alias("spans"))
-    read = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-
-    def replace(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if t and spans:
-                    parts, done = [], 0
-                    for s in sorted(spans, key=lambda s: (s["at"], -s["upto"])):
-                        if s["at"] < done:
-                            continue
-                        parts += [t[done : s["at"]], f"[{s['kind'].upper()}]"]
-                        done = s["upto"]
-                    t = "".join([*parts, t[done:]])
-                out.append(t)
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return read.join(spans, "doc_id", "left").mapInArrow(replace, "doc_id bigint, text string")
+    for b in batches:
+        out = []
+        for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            spans = [(m["at"], m["upto"], k) for m in found or () if (k := kind_of(m))]
+            out.append(replace_spans(t, spans) if t and spans else t)
+        yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -214,9 +215,9 @@ def test_bootstrap_finds_what_no_seed_names(spark):
         want |= {(d, n, k) for n, k in found}
     docs += [(900, None), (901, ""), (902, "x" * 200_000)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'z' AS kind", "1 AS line_no")
-    b = personal.Bootstrap(df)
+    b = personal.Bootstrap(df, keep=True)
     assert {tuple(r) for r in b.places().collect()} == want
-    out = {r.doc_id: r.text for r in personal.redact(df, b.accepted()).collect()}
+    out = {r.doc_id: r.text for r in b.redacted().collect()}
     assert re.fullmatch(r"Signed-off-by: \[NAME\]\n\w[\w ]*:? \[ID_NUMBER\]", out[0]) and out[900] is None and out[901] == "" and len(out[902]) == 200_000
     assert out[3] == re.sub(r"\d+ Elm Road", "[ADDRESS]", re.sub(r"\d+ rue Elm", "[ADDRESS]", dict(docs)[3]))
     assert all(out[d] == t for d, t in docs if d % 5 == 4 and d < 900)
@@ -233,3 +234,55 @@ def test_rounds_that_end_early_are_told(spark, caplog):
     assert not personal.Bootstrap(df, rounds=1).settled and "round 1 still changed" in caplog.text
     caplog.clear()
     assert personal.Bootstrap(df).settled and "still changed" not in caplog.text
+
+
+def test_patterns_take_time_in_proportion_to_the_text():
+    units = ["1", "A", "a", "1A", "A1", "A.", "A-", "a-", "A'", "1 ", "1-", "1.", "(1)", "1)", "a@", "@", "a@b.", "a.", "a@b.co,", "=1", "tel=1234567 ", "A b", "1 rue de "]
+    units += ["12 Ab ", "12 Ab Street ", "Ab 12 ", " ", "\t", "x://a@b.co ", "a dot b ", "(at)", "%40", "é", "Éa", "0", "ext 1 ", "::", "#1", "social ", "Aa ", "A, "]
+    for unit in units:
+        for begin, end in (("x = ", "_"),):
+            text = begin + unit * (100_000 // len(unit)) + end
+            start = time.perf_counter()
+            found = personal.mentions(text)
+            # each mention found costs a little, but nothing costs more the longer the text is
+            assert time.perf_counter() - start < 1 + 3e-4 * len(found), (unit, end)
+
+
+def test_long_and_foreign_forms_are_candidates():
+    seeds = lambda t: {(t[m[1] : m[2]], m[7]) for m in personal.mentions(t)}
+    assert ("AB12345", "id_number") in seeds("passport no: AB12345") and ("AB12345", "id_number") in seeds("passport no:" + " " * 200 + "AB12345")
+    assert ("12345 Maple Street", "address") in seeds("at 12345 Maple Street")
+    assert ("müller@exämple.de", "email") in seeds("an müller@exämple.de")
+    assert not any(k for _, k in seeds("see ticket 0010-22-90817 for more"))
+    long = "w" * 5000
+    assert [m[5] for m in personal.mentions(f"{long} Ann Ashdown")] == [long]
+
+
+def test_overlapping_spans_are_replaced_together():
+    text = "abcdefghijklmnopqrst"
+    assert personal.replace_spans(text, [(0, 10, "name"), (5, 20, "address")]) == "[ADDRESS]"
+    assert personal.replace_spans(text, [(0, 3, "name"), (3, 5, "phone"), (7, 9, "email"), (7, 9, "name")]) == "[NAME][PHONE]fg[EMAIL]jklmnopqrst"
+    assert personal.replace_spans(text, []) == text and personal.replace_spans(text, [(0, 20, "x")]) == "[X]"
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_redaction_of_planted_spans(spark, monkeypatch, limit):
+    monkeypatch.setattr(personal, "BROADCAST_NODES", limit)
+    docs, want = [], []
+    for k in range(60):
+        name, mail = f"{GIVEN[k % 8]} {FAMILY[k % 6]}", f"u{k}@mail.example"
+        docs.append((None if k % 7 == 0 else k // 2, f"Signed-off-by: {name} <{mail}>\nkeep {k}\ncall +44 20 7946 0{100 + k}"))
+        want.append((docs[-1][0], f"Signed-off-by: [NAME] <[EMAIL]>\nkeep {k}\ncall [PHONE]"))
+    docs += [(None, None), (5, ""), (5, "nothing here")]
+    want += docs[-3:]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = personal.Bootstrap(df.repartition(3), keep=True).redacted().collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_a_shape_like_an_identity_number_is_none_by_its_digits_alone(spark):
+    rnd = random.Random(3)
+    docs = [(d, f"national id {rnd.randrange(10**10, 10**11)}\nsee ticket 4410-{rnd.randrange(10, 99)}-{rnd.randrange(10**4, 10**5)} for more") for d in range(40)]
+    places = personal.Bootstrap(spark.createDataFrame(docs, "doc_id bigint, text string")).places().collect()
+    assert {(r.line_no, r.kind) for r in places} == {(1, "id_number")} and len(places) == 40
