@@ -385,7 +385,8 @@ class Bootstrap:
         self.settled = not rounds
         for _ in range(rounds):
             edges = cut(self._accept(edges, self._score(edges)))
-            if self.settled := edges.where("changed").isEmpty():
+            self.settled = edges.where("changed").isEmpty()
+            if self.settled:
                 break
         if not self.settled:
             logging.getLogger(__name__).warning("round %d still changed accepted mentions", rounds)
