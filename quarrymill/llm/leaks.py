@@ -4,7 +4,8 @@ Words are unbroken runs of ASCII letters and digits in lower case. Every window
 part (prompt or solution) and of a document has a 64-bit SimHash of its words. The bits are cut into radius + 1 blocks; two
 fingerprints within the radius agree in at least one block, so looking up each block in an index of the
 items' windows finds every pair within the radius. A pair is verified by the exact weighted Jaccard similarity of the windows' shingles
-(five words; a shingle weighs the more, the fewer items hold it) and, for passages, by equality word by word.
+(five words; a shingle weighs the more, the fewer of all items hold it) and, for passages, by equality word by word.
+Windows are sized to the item where a part of it is shorter than the usual window: then the whole part is one window.
 
 Equal windows have equal fingerprints, so passages need no more. Windows that are merely alike are mostly further apart than the radius
 (one other word at a window's end moves about five bits), so where these are wanted too, every pair of windows with the similarity asked for
@@ -12,9 +13,11 @@ is found by its shingles: of a document's window so much weight must be known to
 whose weight the rest cannot spare. Items that the fingerprints found already are left out there.
 
 Items are indexed in blocks of bounded text size, each sent to the tasks as one broadcast index; documents are read
-once per block and never shuffled before their findings are. Texts are handled as one byte buffer per batch, in slices.
+once per block and never shuffled before their findings are. Of several blocks one at a time is held: its findings are stored and it is given up before
+the next. Texts are handled as one byte buffer per batch, in slices.
 
-Defined results: null and empty texts hold no words and give nothing; a part shorter than the window is never found;
+Defined results: null and empty texts hold no words and give nothing; a part of fewer than five words is never found, and one shorter than the
+window is found as a whole but is no passage;
 texts of any length are handled whole; repeated documents are reported under their doc_id once; repeated items are
 reported under each item_id; an empty table on either side gives an empty result; other columns may have any name.
 """
@@ -23,11 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.session import write_once
+
 WINDOW = 25
 RADIUS = 3
 SHINGLE = 5
@@ -89,8 +95,10 @@ def simhash(h: np.ndarray, window: int) -> np.ndarray:
 class Index:
     """All windows of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, radius: int = RADIUS):
-        self.window, self.radius = window, radius
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, radius: int = RADIUS, holders: tuple[np.ndarray, np.ndarray, int] | None = None, usual: int | None = None):
+        """``holders``: shingles with the number of items that hold each, and the number of all items; counted from these items if left out."""
+        self.window, self.radius, self.holders = window, radius, holders
+        self.passages = window == (usual or window)
         hashes, owner = [], []
         for number, (_, text) in enumerate(items):
             h, _ = words(np.frombuffer((text or "").encode(), np.uint8), np.zeros(1, np.int64))
@@ -121,10 +129,15 @@ class Index:
     def weights(self, place: np.ndarray) -> None:
         s = shingles(self.words)
         ok = place[: len(s)] == place[SHINGLE - 1 :] if len(s) else np.empty(0, bool)
-        pairs = np.unique(np.stack([s[ok], self.ids[place[: len(s)][ok]].astype(np.uint64)]), axis=1)
-        self.shingle, df = np.unique(pairs[0], return_counts=True)
-        n = len(np.unique(self.ids)) + 1
-        self.weight, self.unknown = np.log(1 + n / df), float(np.log(1 + n))
+        if self.holders:
+            known, held, n = self.holders
+            self.shingle = np.unique(s[ok])
+            df = held[np.searchsorted(known, self.shingle)]
+        else:
+            pairs = np.unique(np.stack([s[ok], self.ids[place[: len(s)][ok]].astype(np.uint64)]), axis=1)
+            self.shingle, df = np.unique(pairs[0], return_counts=True)
+            n = len(np.unique(self.ids))
+        self.weight, self.unknown = np.log(1 + (n + 1) / df), float(np.log(2 + n))
 
     def postings(self, place: np.ndarray) -> None:
         """The places of every shingle, the window that starts at a place (or -1), and the weight of every window's shingles."""
@@ -175,11 +188,11 @@ class Index:
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
-    if len(h) < SHINGLE:
-        return np.empty(0, np.uint64)
-    n, out = len(h) - SHINGLE + 1, np.zeros(len(h) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        out = _mix(out * np.uint64(_PRIME) + h[k : k + n])
+    """Hashes of the shingles of a run of words, or of every row of word hashes."""
+    n = max(0, h.shape[-1] - SHINGLE + 1)
+    out = np.zeros((*h.shape[:-1], n), np.uint64)
+    for k in range(SHINGLE if n else 0):
+        out = _mix(out * np.uint64(_PRIME) + h[..., k : k + n])
     return out
 
 
@@ -194,11 +207,10 @@ def similarity(a: np.ndarray, b: np.ndarray, index: Index) -> np.ndarray:
     k = a.shape[1] - SHINGLE + 1
     if k < 1:
         return np.where((a == b).all(axis=1), 1.0, 0.0)
-    rolled = lambda x: np.stack([shingles(r) for r in x])
     for part in np.array_split(np.arange(len(a)), len(a) // 2048 + 1):
         if not len(part):
             continue
-        x, y = rolled(a[part]), rolled(b[part])
+        x, y = shingles(a[part]), shingles(b[part])
         wx, wy = index.weigh(x), index.weigh(y)
         fx, fy = first_of(x), first_of(y)
         common = (wx * fx * (x[:, :, None] == y[:, None, :]).any(axis=2)).sum(axis=1)
@@ -273,6 +285,50 @@ def _alike(index: Index, own: np.ndarray, doc: np.ndarray, whole: np.ndarray, le
                     best[d, i] = (False, max(best.get((d, i), (False, 0.0))[1], e))
 
 
+def indexes(items: list[tuple[int, str]], window: int, radius: int, holders: tuple | None = None) -> list[Index]:
+    """An index of the parts with at least a window of words, and one for every length of the shorter parts."""
+    by_length: dict[int, list] = {}
+    for i, text in items:
+        h, _ = words(np.frombuffer((text or "").encode(), np.uint8), np.zeros(1, np.int64))
+        if len(h) >= min(SHINGLE, window):
+            by_length.setdefault(min(len(h), window), []).append((i, text))
+    return [Index(own, n, radius, holders, usual=window) for n, own in sorted(by_length.items())]
+
+
+def holders_of(items: DataFrame, item: str, parts: list[str]) -> DataFrame:
+    """(shingle, n): how many items hold each shingle of the items' parts."""
+
+    def scan(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            ids, out, own = b.column(0), [], []
+            for k in range(1, b.num_columns):
+                for row, text in enumerate(b.column(k).to_pylist()):
+                    h, _ = words(np.frombuffer((text or "").encode(), np.uint8), np.zeros(1, np.int64))
+                    s = np.unique(shingles(h))
+                    out.append(s)
+                    own.append(np.full(len(s), row))
+            if out:
+                yield pa.record_batch([ids.take(pa.array(np.concatenate(own).astype(np.int64))), pa.array(np.concatenate(out).view(np.int64))], names=["item", "shingle"])
+
+    picked = items.where(F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), *(F.col(p).cast("string").alias(f"part_{k}") for k, p in enumerate(parts)))
+    return picked.mapInArrow(scan, "item bigint, shingle bigint").distinct().groupBy("shingle").agg(F.count("*").alias("n"))
+
+
+def _holders_in(known: DataFrame, total: int, block: list) -> tuple[np.ndarray, np.ndarray, int]:
+    """Those of the shingles that a block of items holds."""
+    own = [shingles(words(np.frombuffer(t.encode(), np.uint8), np.zeros(1, np.int64))[0]) for _, t in block]
+    own = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+    import pandas as pd
+
+    mine = known.sparkSession.createDataFrame(pd.DataFrame({"shingle": own.view(np.int64)}), "shingle bigint")
+    got = known.join(mine, "shingle").toPandas()
+    s, n = got["shingle"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order], total
+
+
 def _find(index: Index, buf: np.ndarray, offsets: np.ndarray, least: float, alike: bool = True) -> list[tuple[int, int, bool, float]]:
     """(number of the text, item, whether a run is equal, best similarity) over texts that lie end to end.
 
@@ -297,7 +353,7 @@ def _find(index: Index, buf: np.ndarray, offsets: np.ndarray, least: float, alik
             item = index.ids[index.owner[right[part]]]
             for d, i, e, s in zip(doc[left[part]][ok].tolist(), item[ok].tolist(), equal[ok].tolist(), sim[ok].tolist()):
                 was = best.get((d, i), (False, 0.0))
-                best[d, i] = (was[0] or e, max(was[1], s))
+                best[d, i] = (was[0] or e and index.passages, max(was[1], s))
         if alike:
             _alike(index, own, doc[at:], whole, least, best)
     return [(d, i, e, s) for (d, i), (e, s) in best.items()]
@@ -307,7 +363,6 @@ def _scan(shared, least: float, alike: bool):
     def scan(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        index = shared.value
         for batch in batches:
             ids = batch.column(0)
             text = batch.column(1).cast(pa.large_binary())
@@ -318,8 +373,9 @@ def _scan(shared, least: float, alike: bool):
             while first < len(text):  # slices of whole texts
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
                 own = offsets[first : last + 1]
-                found = _find(index, data[own[0] : own[-1]], own - own[0], least, alike)
-                rows += [(first + d, i, e, s) for d, i, e, s in found]
+                for index in shared.value:
+                    found = _find(index, data[own[0] : own[-1]], own - own[0], least, alike)
+                    rows += [(first + d, i, e, s) for d, i, e, s in found]
                 first = last
             if rows:
                 d, i, e, s = zip(*rows)
@@ -357,6 +413,7 @@ def leaks(
     radius: int = RADIUS,
     least: float = SIMILARITY,
     alike: bool = True,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, item_id, passage, similarity): items of which a document holds a window, alike or equal (passage).
 
@@ -364,16 +421,22 @@ def leaks(
     of the rest only those within the radius. The similarity is the best of the windows compared, not of all.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    read = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     schema = "doc_id bigint, item_id bigint, passage boolean, similarity double"
-    found = []
-    for block in item_blocks(items, item, list(parts)):
-        shared = spark.sparkContext.broadcast(Index(block, window, radius))
-        found.append(read.mapInArrow(_scan(shared, least, alike), schema))
-    if not found:
+    blocks = item_blocks(items, item, list(parts), block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         return spark.createDataFrame([], schema)
-    return (
-        reduce(DataFrame.unionByName, found)
-        .groupBy("doc_id", "item_id")
-        .agg(F.bool_or("passage").alias("passage"), F.max("similarity").alias("similarity"))
-    )
+    if second is None:
+        shared = spark.sparkContext.broadcast(indexes(first, window, radius))
+        found = read.mapInArrow(_scan(shared, least, alike), schema)
+    else:
+        known = write_once(holders_of(items, item, list(parts)), "holders")
+        total = items.where(F.col(item).isNotNull()).select(item).distinct().count()
+        stored = []
+        for block in chain((first, second), blocks):
+            shared = spark.sparkContext.broadcast(indexes(block, window, radius, _holders_in(known, total, block)))
+            stored.append(write_once(read.mapInArrow(_scan(shared, least, alike), schema), "findings"))
+            shared.destroy()
+        found = reduce(DataFrame.unionByName, stored)
+    return found.groupBy("doc_id", "item_id").agg(F.bool_or("passage").alias("passage"), F.max("similarity").alias("similarity"))

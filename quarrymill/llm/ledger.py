@@ -1,10 +1,13 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys in buckets.
 
 A record's canonical key is the digest of its six labelled fields, each reduced to its letters and digits in
-lower case, in a fixed field order. The ledger is a table in the shared folder, bucketed by that key, with the
-number of copies and the smallest row number seen. Each batch is aggregated (partially on the map side, so a
-group of copies that holds a third of the rows leaves one row per task), joined by a full outer join with the
-matching buckets (the ledger's side is not shuffled), and written as the next version.
+lower case, in a fixed field order. The ledger lies in a folder that can be opened again by any later session: segments, each a table bucketed
+by that key with the number of copies and the smallest row number seen, and a manifest that names them. A batch is aggregated (partially on the
+map side, so a group of copies that holds a third of the rows leaves one row per task) and written as a segment of its own, so adding
+costs what the batch costs, not what the ledger holds. A segment that is not much larger than the one after it is merged with it: a full outer
+join of matching buckets, without a shuffle, adds the counts and keeps the earliest representative. So a key is rewritten
+as often as the ledger has grown fourfold. A manifest is written whole and renamed before segments that it no longer names are removed: a job that
+fails in between leaves the ledger as it was before or after.
 
 Copies are told apart from their keeper by a join of the keyed rows with ledger entries of two or more. Keys
 with more than a thousandth of all rows (hence at most 1000) are salted on both sides.
@@ -17,12 +20,14 @@ never become a copy_row; an empty table gives empty results; other columns may h
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.session import scratch_path, shared_folder
+from quarrymill.session import scratch_path
 
 FIELDS = ("orderid", "customeremail", "region", "amount", "orderdate", "paid")
 _LABELS = r"order[\s_.\-]*id|customer[\s_.\-]*email|region|amount|order[\s_.\-]*date|paid"
@@ -63,60 +68,113 @@ def keyed(df: DataFrame, row: str, record: str, order: str | None = None) -> Dat
     )
 
 
-class Ledger:
-    """Canonical keys with their counts, kept in buckets under the shared folder."""
+#: A segment is merged with the next one unless it is more than so many times larger.
+GROWTH = 4
+
 
-    def __init__(self, spark, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name: str | None = None
-        shared_folder(spark)
+class Ledger:
+    """Canonical keys with their counts: segments of buckets in a folder."""
+
+    def __init__(self, spark, path: str, buckets: int, segments: list[dict], version: int):
+        self.spark, self.path, self.buckets, self.segments, self.version = spark, path, buckets, segments, version
+        self._tables: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark, path: str | None = None, buckets: int | None = None) -> Ledger:
+        """The ledger in a folder (a new one if there is none yet); the number of buckets is settled by its first batch."""
+        path = path or scratch_path(spark, "ledger")
+        fs, at = cls._fs(spark, path)
+        found = []
+        if fs.exists(at):
+            names = [s.getPath().getName() for s in fs.listStatus(at)]
+            found = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        if not found:
+            return cls(spark, path, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), [], 0)
+        doc = json.loads("".join(r.value for r in spark.read.option("wholetext", True).text(f"{path}/manifest-{found[-1]}.json").collect()))
+        return cls(spark, path, doc["buckets"], doc["segments"], found[-1])
+
+    @staticmethod
+    def _fs(spark, path: str):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+    def _table(self, segment: dict) -> DataFrame:
+        """A segment as a bucketed table of this session's catalogue."""
+        name = self._tables.get(segment["name"])
+        if name is None:
+            name = self._tables[segment["name"]] = f"ledger_{uuid.uuid4().hex}"
+            self.spark.sql(
+                f"CREATE TABLE {name} (key BINARY, copies BIGINT, keep_row BIGINT) USING parquet CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{segment['name']}'"
+            )
+        return self.spark.table(name)
 
     def entries(self) -> DataFrame:
-        if self.name is None:
+        if not self.segments:
             return self.spark.createDataFrame([], "key binary, copies bigint, keep_row bigint")
-        return self.spark.table(self.name)
+        return reduce(self._merged, map(self._table, self.segments))
+
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.withColumnsRenamed({"copies": "n", "keep_row": "first"})
+        copies = F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))
+        return a.join(b, "key", "full_outer").select("key", copies.alias("copies"), F.least("keep_row", "first").alias("keep_row"))
+
+    def _write(self, rows: DataFrame) -> dict:
+        segment = {"name": f"segment-{uuid.uuid4().hex}"}
+        name = self._tables[segment["name"]] = f"ledger_{uuid.uuid4().hex}"
+        rows.write.option("path", f"{self.path}/{segment['name']}").bucketBy(self.buckets, "key").saveAsTable(name)
+        return segment | {"rows": self.spark.table(name).count()}
+
+    def _commit(self, segments: list[dict]) -> None:
+        fs, _ = self._fs(self.spark, self.path)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        version = self.version + 1
+        temp, final = path(f"{self.path}/.manifest-{version}-{uuid.uuid4().hex}"), path(f"{self.path}/manifest-{version}.json")
+        out = fs.create(temp, False)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "segments": segments}).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(temp, final):
+            fs.delete(temp, False)
+            raise RuntimeError("another job has added to the ledger meanwhile")
+        gone = [s for s in self.segments if s not in segments]
+        self.segments, self.version = segments, version
+        fs.delete(path(f"{self.path}/manifest-{version - 1}.json"), False)
+        for s in gone:
+            self._remove(s)
+
+    def _remove(self, segment: dict) -> None:
+        if name := self._tables.pop(segment["name"], None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs, _ = self._fs(self.spark, self.path)
+        fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{segment['name']}"), True)
 
     def add(self, batch: DataFrame) -> None:
-        """Aggregate the batch's keys, join them with the ledger's buckets and write the next version."""
+        """Aggregate the batch's keys, write them as a segment, and merge it with those that have become alike in size."""
         new = (
             batch.groupBy("key", F.spark_partition_id().alias("part"))
             .agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
             .drop("part")
             .repartition(self.buckets, "key")
             .groupBy("key")
-            .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+            .agg(F.sum("n").alias("copies"), F.min("first").alias("keep_row"))
         )
-        if self.name is None:
-            merged = new.select("key", F.col("n").alias("copies"), F.col("first").alias("keep_row"))
-        else:
-            merged = (
-                self.entries()
-                .join(new, "key", "full_outer")
-                .select(
-                    "key",
-                    (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
-                    F.least("keep_row", "first").alias("keep_row"),
-                )
-            )
-        name = f"ledger_{uuid.uuid4().hex}"
-        (
-            merged.write.option("path", scratch_path(self.spark, "ledger"))
-            .bucketBy(self.buckets, "key")
-            .saveAsTable(name)
-        )
-        old, self.name = self.name, name
-        if old:
-            self.spark.sql(f"DROP TABLE {old}")
-
-
-def build(df: DataFrame, row: str, record: str, order: str | None = None, batches: int = 3) -> tuple[DataFrame, Ledger]:
-    """The keyed rows (written once) and the ledger of them after ``batches`` batches in order of arrival."""
+        segments = [*self.segments, self._write(new)]
+        while len(segments) > 1 and segments[-2]["rows"] <= GROWTH * segments[-1]["rows"]:
+            *rest, a, b = segments
+            segments = [*rest, self._write(self._merged(self._table(a), self._table(b)))]
+            for s in (a, b):
+                if s not in self.segments:  # never named by a manifest
+                    self._remove(s)
+        self._commit(segments)
+
+
+def build(df: DataFrame, row: str, record: str, order: str | None = None, batches: int = 3, folder: str | None = None) -> tuple[DataFrame, Ledger]:
+    """The keyed rows (written once) and the ledger of them after ``batches`` batches in order of arrival, added to the ledger in ``folder`` if named."""
     spark = df.sparkSession
     path = scratch_path(spark, "keyed")
     keyed(df, row, record, order).write.parquet(path)
     rows = spark.read.schema("row_id bigint, seen_at timestamp_ntz, key binary").parquet(path)
-    ledger = Ledger(spark)
+    ledger = Ledger.open(spark, folder)
     low, high = rows.agg(
         F.min(F.unix_micros(F.col("seen_at").cast("timestamp"))), F.max(F.unix_micros(F.col("seen_at").cast("timestamp")))
     ).first()

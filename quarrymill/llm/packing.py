@@ -7,7 +7,7 @@ rows, so no task holds more, however many texts there are; each shard leaves at
 Within a shard, per container: fill greedily with the largest unpacked size that fits until none does; then take out
 the smallest member if two unpacked ones fit its expanded gap and fill it more tightly.
 
-Defined results: a null or empty text has 0 tokens and lies in a container with others (place is then where it would begin);
+Defined results: a capacity that is null or below 1 gives no rows; a null or empty text has 0 tokens and lies in a container with others (place is then where it would begin);
 equal sizes are interchangeable and taken in order of the row; repeated rows are placed each; texts of any length are handled;
 an empty table gives an empty result; other columns may have any name.
 """
@@ -30,26 +30,33 @@ SHARD_ITEMS = 20_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str = TOKENIZER):
+def _encoder_of(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoder(path: str = TOKENIZER):
+    with open(path, "rb") as f:
+        return _encoder_of(f.read())
+
+
 def token_counts(df: DataFrame, item: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """(item, n_tokens) of every row."""
+    """(item, n_tokens) of every row. The vocabulary is read where this is called and sent to the workers (below a megabyte)."""
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        enc = encoder(path)
+        enc = _encoder_of(shared.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["item", "n_tokens"])
 
-    picked = df.select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
+    picked = df.select(F.col(item).cast("bigint").alias("item"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(count, "item bigint, n_tokens bigint")
 
 
@@ -140,7 +147,10 @@ def _pack_shard(key, table):
 
 
 def place_all(counts: DataFrame, capacities: Sequence[int], shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """The container and place of every part of every item, for each capacity."""
+    """The container and place of every part of every item, for each capacity; capacities below 1 and null ones hold nothing."""
+    capacities = [c for c in capacities if c is not None and c > 0]
+    if not capacities:
+        return counts.sparkSession.createDataFrame([], PLACED)
     stored = write_once(counts, "sizes")
     shards = max(1, -(-stored.count() // shard_items))
     numbered = stored.withColumn("row", F.monotonically_increasing_id())
@@ -158,3 +168,33 @@ def use(placed: DataFrame) -> DataFrame:
         F.count("*").alias("parts"),
         (1 - F.sum("n_tokens") / (F.countDistinct("container") * F.first("capacity_tokens"))).alias("unused_share"),
     )
+
+
+def invariants(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per capacity: texts placed, and how often a rule of packing is broken: containers that hold too much, texts whose tokens are not all
+    placed exactly once, texts split without need or into more parts than necessary, parts that overlap in their container; and whether at most
+    2 % (and a container for every shard) more containers are used than the tokens need at least."""
+    part = placed.groupBy("capacity_tokens", "container").agg(F.sum("n_tokens").alias("filled"), F.max(F.col("place") + F.col("n_tokens")).alias("end"))
+    boxes = part.groupBy("capacity_tokens").agg(
+        F.count("*").alias("containers"),
+        F.count_if(F.col("filled") > F.col("capacity_tokens")).alias("overfull"),
+        F.count_if(F.col("filled") != F.col("end")).alias("overlapping"),
+        F.sum("filled").alias("tokens"),
+    )
+    # parts of a text are told apart by their first token: these must follow each other without a gap
+    texts = placed.groupBy("capacity_tokens", "item").agg(
+        F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"), F.count("*").alias("parts"), F.countDistinct("part_no").alias("numbers")
+    )
+    own = counts.groupBy("item").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("rows"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens")))
+    one = F.col("rows") == 1
+    whole = own.join(texts, "item", "left").groupBy("capacity_tokens").agg(
+        F.sum("rows").alias("texts"),
+        F.count_if((F.col("n") != F.col("size")) | one & ((F.col("upto") != F.col("size")) | (F.col("parts") != F.col("numbers")))).alias("incomplete"),
+        F.count_if(one & (F.col("parts") != least)).alias("split_wrongly"),
+    )
+    room = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
+    shards = F.ceil(F.col("texts") / SHARD_ITEMS)
+    return whole.join(boxes, "capacity_tokens").select(
+        "capacity_tokens", "texts", "overfull", "overlapping", "incomplete", "split_wrongly", (F.col("containers") <= F.ceil(room * 1.02) + 2 * shards).alias("tight")
+    )

@@ -21,7 +21,12 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("item_id").agg(F.count_if("passage").alias("documents_equal"), F.count("*").alias("documents_alike"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
+def p7_items_equal(spark: SparkSession, d: str) -> DataFrame:
+    """Per item that leaked: the number of documents with an equal passage."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents_equal"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p7_items_equal": p7_items_equal}
 
 _W = 25
 ORACLE = {
@@ -40,3 +45,4 @@ WITH item_words AS (
 ), hits AS (SELECT DISTINCT doc_id, k, item_id, x FROM places JOIN item_windows USING (a, b, c))
 SELECT DISTINCT doc_id, item_id FROM hits JOIN doc_words USING (doc_id) WHERE w[k : k + {_W - 1}] = x"""
 }
+ORACLE["p7_items_equal"] = f"SELECT item_id, count(*) AS documents_equal FROM ({ORACLE['p7_found']}) GROUP BY item_id"

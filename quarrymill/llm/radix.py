@@ -10,6 +10,8 @@ percentiles read from sums keep the same error bound.
 
 A percentile p of n values is the value of rank max(1, ceil(p * n)) in ascending order.
 
+The table is read once for the first digit and once for each later one, whatever the number of levels.
+
 Defined results: null and NaN values are left out; a group of only such values gives no row; null group values form a group;
 -0 equals 0; infinities are ordinary ends of the order; ties count each; an empty table gives an empty result;
 other columns may have any name.
@@ -29,26 +31,50 @@ DIGIT_BITS = 16
 BROADCAST_TARGETS = 200_000
 
 
-def ordered_key(value: Column) -> Column:
-    """An integer of the same order as the double ``value``: its bits, with the sign turned into that of the integer."""
-    x = value.cast("double")
-    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.abs(x)).cast("bigint")
-    return F.when(x < 0, -bits).otherwise(bits)
+_LOWEST = 2.0**-1022
+
+
+def _power(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e)
+
+
+def _scaled(size: Column, e: Column) -> Column:
+    """size / 2^e, in two steps, as the power itself may be too small for a double."""
+    half = F.floor(e / 2).cast("double")
+    return size * _power(-half) * _power(half - e)
+
+
+def with_key(df: DataFrame, number: str, key: str) -> DataFrame:
+    """Adds an integer of the same order as a column of doubles: their bits, with the sign turned into that of the integer.
+
+    The bits are computed by exact arithmetic in compiled code: the exponent from the logarithm, put right by comparison, and the mantissa by
+    scaling with powers of two. Each step is a column of its own, so nothing is computed twice.
+    """
+    x, size = F.col(number), F.col("_size")
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("double")
+    steps = (
+        df.withColumn("_size", F.abs(x))
+        .withColumn("_guess", guess)
+        .withColumn("_near", _scaled(size, F.col("_guess")))
+        .withColumn("_exponent", F.col("_guess") + F.when(F.col("_near") >= 2.0, 1.0).when(F.col("_near") < 1.0, -1.0).otherwise(0.0))
+        .withColumn("_mantissa", _scaled(size, F.col("_exponent")) * F.lit(2.0**52))
+    )
+    normal = (F.col("_exponent") + 1022).cast("bigint") * F.lit(1 << 52) + F.col("_mantissa").cast("bigint")
+    small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    bits = F.when(size == 0, F.lit(0)).when(size < _LOWEST, small).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return steps.withColumn("_bits", bits).withColumn(key, F.when(x < 0, -F.col("_bits")).otherwise(F.col("_bits"))).drop("_size", "_guess", "_near", "_exponent", "_mantissa", "_bits")
 
 
 def value_of(key: Column) -> Column:
-    """The double behind a key."""
+    """The double behind a key; applied to results only."""
     size = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.abs(key)).cast("double")
     return F.when(key < 0, -size).otherwise(size)
 
 
 def _numbers(df: DataFrame, groups: Sequence[str], value: Column) -> DataFrame:
     """groups..., key: rows with a number only, each key computed once a row."""
-    return (
-        df.select(*(F.col(g) for g in groups), value.cast("double").alias("number"))
-        .where(F.col("number").isNotNull() & ~F.isnan("number"))
-        .select(*groups, ordered_key(F.col("number")).alias("key"))
-    )
+    rows = df.select(*(F.col(g) for g in groups), value.cast("double").alias("_number")).where(F.col("_number").isNotNull() & ~F.isnan("_number"))
+    return with_key(rows, "_number", "key").select(*groups, "key")
 
 
 def _same(a: list[str], left: DataFrame, right: DataFrame) -> Column:
@@ -138,32 +164,40 @@ def percentiles(
         .groupBy(*every, "prefix")
         .agg(F.count("*").alias("n"))
     )
-    out = None
-    for level, groups in levels.items():
-        got = cut(_targets(merge(first, groups), groups, wanted))
-        for k in range(1, passes):
-            done, now = 64 - k * digit_bits, 64 - (k + 1) * digit_bits
-            places = got.select(*(F.col(g).alias(f"t_{g}") for g in groups), F.col("prefix").alias("t_prefix")).distinct()
+    got = {level: cut(_targets(merge(first, groups), groups, wanted)) for level, groups in levels.items()}
+    for k in range(1, passes):
+        done, now = 64 - k * digit_bits, 64 - (k + 1) * digit_bits
+        # one scan for all levels: a row is counted if it lies in a digit that some level looks into
+        seen = rows
+        for number, (level, groups) in enumerate(levels.items()):
+            places = got[level].select(*(F.col(g).alias(f"t_{g}") for g in groups), F.col("prefix").alias("t_prefix")).distinct()
+            places = places.withColumn(f"wanted_{number}", F.lit(True))
             if places.count() <= BROADCAST_TARGETS:
                 places = F.broadcast(places)
-            on = _same(groups, rows, places) & (F.shiftright(rows["key"], done) == places["t_prefix"])
-            counts = (
-                rows.join(places, on, "left_semi")
-                .withColumn("prefix", F.shiftright("key", now))
-                .groupBy(*groups, "prefix")
-                .agg(F.count("*").alias("n"))
-                .withColumn("parent", F.shiftright("prefix", digit_bits))
-            )
-            last = got.select(
+            on = _same(groups, seen, places) & (F.shiftright(seen["key"], done) == places["t_prefix"])
+            seen = seen.join(places, on, "left").drop("t_prefix", *(f"t_{g}" for g in groups))
+        flags = [f"wanted_{number}" for number in range(len(levels))]
+        counts = cut(
+            seen.where(F.coalesce(*flags))
+            .withColumn("prefix", F.shiftright("key", now))
+            .groupBy(*every, "prefix", *flags)
+            .agg(F.count("*").alias("n"))
+        )
+        for number, (level, groups) in enumerate(levels.items()):
+            own = counts.where(flags[number]).groupBy(*groups, "prefix").agg(F.sum("n").alias("n"))
+            own = own.withColumn("parent", F.shiftright("prefix", digit_bits))
+            last = got[level].select(
                 *(F.col(g).alias(f"t_{g}") for g in groups), "percentile", "rank", "total", "before", F.col("prefix").alias("t_prefix")
             )
-            both = counts.join(last, _same(groups, counts, last) & (counts["parent"] == last["t_prefix"]))
+            both = own.join(last, _same(groups, own, last) & (own["parent"] == last["t_prefix"]))
             both = both.select(*groups, "percentile", "rank", "total", "before", "prefix", "n")
-            got = cut(_pick(both, groups, F.col("before")))
-        rest = 64 - passes * digit_bits
+            got[level] = cut(_pick(both, groups, F.col("before")))
+    rest = 64 - passes * digit_bits
+    out = None
+    for level, groups in levels.items():
         low = F.shiftleft(F.col("prefix"), rest) if rest else F.col("prefix")
         high = low + F.lit(2**rest - 1).cast("bigint") if rest else low
-        part = got.select(
+        part = got[level].select(
             F.lit(level).alias("level"),
             *((F.col(g) if g in groups else F.lit(None).cast(rows.schema[g].dataType)).alias(g) for g in every),
             "percentile",

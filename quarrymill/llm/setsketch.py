@@ -4,8 +4,10 @@ Every identifier falls into one of m registers and draws a uniform number u; a r
 1 + floor(-log_b(u)) of its identifiers. Registers are merged by maximum, so sketches of days, regions or files
 combine into those of any union. With n identifiers the registers are independent with P(K <= k) = exp(-n/m * b^-k),
 which gives the maximum likelihood estimate of n (empty registers included, so small sets need no correction), its
-standard error from the curvature of the likelihood, and, for two sketches, the joint likelihood of the pairs of
-registers, from which intersection and Jaccard similarity are estimated with their standard errors.
+standard error from the curvature of the likelihood. For two sketches the joint likelihood of the pairs of registers is maximised
+over all three parts (what only the left, only the right and both sets hold) together; the standard errors of union, intersection and Jaccard
+similarity follow from its curvature there. A part whose likelihood is greatest at zero is held there, with the error at which
+the likelihood has fallen by a factor of e.
 
 Sizes: a group's sketch has at most m registers whatever the group's size; the first aggregation merges registers
 on the map side, so a group that holds a third of all rows sends at most m rows per task.
@@ -38,15 +40,15 @@ def registers(
     df: DataFrame, groups: list[str], item: Column, m: int = REGISTERS, base: float = BASE
 ) -> DataFrame:
     """(groups..., register, value): the sketch of every group; register -1 stands for a group's existence."""
-    if m & (m - 1):
-        raise ValueError("the number of registers must be a power of two")
+    if m & (m - 1) or not base > 1:
+        raise ValueError("the number of registers must be a power of two, and the base above 1")
     x = identifier(item)
     u = (F.shiftrightunsigned(F.xxhash64(x, F.lit(1)), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
     return (
         df.select(
             *(F.col(g).alias(g) for g in groups),
             F.when(x.isNotNull(), F.xxhash64(x).bitwiseAND(F.lit(m - 1))).otherwise(-1).cast("int").alias("register"),
-            F.when(x.isNotNull(), F.floor(-F.log(u) / F.lit(math.log(base))) + 1).otherwise(0).cast("smallint").alias("value"),
+            F.when(x.isNotNull(), F.floor(-F.log(u) / F.lit(math.log(base))) + 1).otherwise(0).cast("int").alias("value"),
         )
         .groupBy(*groups, "register")
         .agg(F.max("value").alias("value"))
@@ -97,69 +99,108 @@ def estimate_one(values: np.ndarray, m: int, base: float) -> tuple[float, float]
     return rate * m, error * m
 
 
-def estimate_joint(left: np.ndarray, right: np.ndarray, m: int, base: float) -> dict[str, float]:
-    """Sizes of both sets, union, intersection and Jaccard similarity from paired register values (0: empty).
+class _Pairs:
+    """The log-likelihood of paired register values, given the rates per register of the three disjoint parts."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, m: int, base: float):
+        pairs, n = np.unique(np.stack([left, right]), axis=1, return_counts=True)
+        k, l = pairs.astype(np.float64)
+        self.n, self.rest = n.astype(np.float64), m - float(n.sum())
+        self.lower, self.upper, self.same = k > l, k < l, k == l
+        at = lambda v: (base**-v, np.where(v > 0, base ** -(v - 1), np.inf))
+        self.k, self.l = at(k), at(l)
+
+    @staticmethod
+    def _is(rate: float, bounds: tuple, pick: np.ndarray) -> np.ndarray:
+        """The chance that a part's register has the value with these bounds (a value of 0: that it is empty)."""
+        low, high = bounds[0][pick], bounds[1][pick]
+        gap = np.where(np.isinf(high), 0.0, high - low)
+        return np.exp(-rate * low) * np.where(np.isinf(high), 1.0, -np.expm1(-rate * gap))
+
+    @staticmethod
+    def _below(rate: float, bounds: tuple, pick: np.ndarray) -> np.ndarray:
+        high = bounds[1][pick]
+        return np.where(np.isinf(high), 0.0, np.exp(-rate * np.where(np.isinf(high), 0.0, high)))
+
+    def __call__(self, rates: np.ndarray) -> float:
+        a, b, c = np.maximum(rates, 0.0)
+        p = np.empty(len(self.n))
+        x = self.lower  # the left register is greater, so the left part alone made it
+        p[x] = self._is(a, self.k, x) * self._is(b + c, self.l, x)
+        x = self.upper
+        p[x] = self._is(b, self.l, x) * self._is(a + c, self.k, x)
+        x = self.same  # the common part made it, or both others did while the common part stayed below
+        upto = np.exp(-(a + b) * self.k[0][x])
+        p[x] = self._is(c, self.k, x) * upto + self._below(c, self.k, x) * self._is(a, self.k, x) * self._is(b, self.k, x)
+        return float((self.n * np.log(np.maximum(p, 1e-300))).sum()) - self.rest * (a + b + c)
+
+
+def _climb(f, x: np.ndarray, steps: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient, Hessian, f(x)) by differences; a coordinate next to its lower bound is moved off it first."""
+    x = np.maximum(x, low + steps)
+    d, e = len(x), np.diag(steps)
+    mid = f(x)
+    up, down = np.array([f(x + e[i]) for i in range(d)]), np.array([f(x - e[i]) for i in range(d)])
+    hess = np.diag((up - 2 * mid + down) / steps**2)
+    for i in range(d):
+        for j in range(i):
+            both = f(x + e[i] + e[j]) - f(x + e[i] - e[j]) - f(x - e[i] + e[j]) + f(x - e[i] - e[j])
+            hess[i, j] = hess[j, i] = both / (4 * steps[i] * steps[j])
+    return (up - down) / (2 * steps), hess, x
+
+
+JOINT = ("left_count", "right_count", "both", "both_error", "either", "either_error", "jaccard", "jaccard_error")
+
 
-    The sizes come from their own likelihoods; the intersection maximises the likelihood of the pairs given these.
-    """
+def estimate_joint(left: np.ndarray, right: np.ndarray, m: int, base: float) -> dict[str, float]:
+    """Sizes of both sets, union, intersection and Jaccard similarity with their standard errors, from paired register values (0: empty)."""
     nu, _ = estimate_one(left, m, base)
     nv, _ = estimate_one(right, m, base)
-    pairs, n = np.unique(np.stack([left, right]), axis=1, return_counts=True)
-    k, l = pairs.astype(np.float64)
-    n = n.astype(np.float64)
-    rest = m - n.sum()
-    hi = lambda v: np.where(v > 0, base ** -(v - 1), np.inf)
-    ak, al, bk, bl = base**-k, base**-l, hi(k), hi(l)
-
-    def loglik(common: float) -> float:
-        lu, lv, li = nu / m, nv / m, common / m
-        la, lb = lu - li, lv - li
-
-        def span(rate: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            up = np.exp(-rate * np.where(np.isinf(b), 0, b))
-            return np.exp(-rate * a) - np.where(np.isinf(b), 0.0, up)
-
-        own = np.where(k > l, span(la, ak, bk) * span(lv, al, bl), span(lu, ak, bk) * span(lb, al, bl))
-        fin = np.where(np.isinf(bk), 0, bk)
-        gone = np.isinf(bk)
-        same = np.exp(-(la + lb + li) * ak) - np.where(
-            gone, 0, np.exp(-lu * fin - lb * ak) + np.exp(-la * ak - lv * fin) - np.exp(-(la + lb + li) * fin)
-        )
-        p = np.where(k == l, same, own)
-        return float((n * np.log(np.maximum(p, 1e-300))).sum() - rest * (la + lb + li))
-
-    top = min(nu, nv)
-    if top <= 0:
-        return {"left_count": nu, "right_count": nv, "both": 0.0, "either": nu + nv, "jaccard": 0.0, "jaccard_error": 0.0}
-    g = (math.sqrt(5) - 1) / 2
-    a, b = 0.0, top
-    x1, x2 = b - g * (b - a), a + g * (b - a)
-    f1, f2 = loglik(x1), loglik(x2)
-    for _ in range(60):
-        if f1 < f2:
-            a, x1, f1 = x1, x2, f2
-            x2 = a + g * (b - a)
-            f2 = loglik(x2)
-        else:
-            b, x2, f2 = x2, x1, f1
-            x1 = b - g * (b - a)
-            f1 = loglik(x1)
-        if b - a < 1e-6 * top:
+    if min(nu, nv) <= 0:
+        (u, eu), (v, ev) = estimate_one(left, m, base), estimate_one(right, m, base)
+        return dict(zip(JOINT, (u, v, 0.0, 0.0, u + v, max(eu, ev), 0.0, 0.0)))
+    f, total = _Pairs(left, right, m, base), (nu + nv) / m
+    # a start: the common part that fits best given the sizes by themselves
+    grid = np.linspace(0, 1, 41) * min(nu, nv) / m
+    best = max(grid, key=lambda c: f(np.array([nu / m - c, nv / m - c, c])))
+    x = np.array([nu / m - best, nv / m - best, best])
+    low, least = np.zeros(3), 1e-7 * total
+    value = f(x)
+    for _ in range(40):
+        steps = np.maximum(1e-3 * x, 1e-5 * total)
+        slope, hess, _ = _climb(f, x, steps, low)
+        free = (x > least) | (slope > 0)
+        move = np.zeros(3)
+        if free.any():
+            h = hess[np.ix_(free, free)]
+            vals, vecs = np.linalg.eigh(h)
+            vals = np.minimum(vals, -1e-9 * max(1e-12, float(np.abs(vals).max())))  # uphill also where the surface is not concave
+            move[free] = -vecs @ ((vecs.T @ slope[free]) / vals)
+        scale, done = 1.0, True
+        for _ in range(30):
+            new = np.maximum(x + scale * move, 0.0)
+            got = f(new)
+            if got > value + 1e-9:
+                done, x, value = got - value < 1e-7, new, got
+                break
+            scale /= 2
+        if done:
             break
-    both = max([(a + b) / 2, 0.0, top], key=loglik)
-    either = nu + nv - both
-    h = max(1e-3 * top, 1e-9)
-    c = min(max(both, h), top - h) if top > 2 * h else both
-    curve = (loglik(c + h) - 2 * loglik(c) + loglik(c - h)) / h**2
-    error = 1 / math.sqrt(-curve) if curve < 0 else top / math.sqrt(m)
-    return {
-        "left_count": nu,
-        "right_count": nv,
-        "both": both,
-        "either": either,
-        "jaccard": both / either,
-        "jaccard_error": error * (nu + nv) / either**2,
-    }
+    steps = np.maximum(1e-3 * x, 1e-5 * total)
+    slope, hess, _ = _climb(f, x, steps, low)
+    free = x > least
+    cov = np.zeros((3, 3))
+    if free.any():
+        vals, vecs = np.linalg.eigh(hess[np.ix_(free, free)])
+        cov[np.ix_(free, free)] = (vecs / np.maximum(-vals, 1e-12)) @ vecs.T
+    for i in np.flatnonzero(~free):
+        cov[i, i] = 1 / max(abs(float(slope[i])), 1e-12) ** 2
+    a, b, c = x * m
+    cov *= m * m
+    union = a + b + c
+    error = lambda g: float(np.sqrt(max(0.0, g @ cov @ g)))
+    jaccard = np.array([-c / union**2, -c / union**2, (a + b) / union**2])
+    return dict(zip(JOINT, (a + c, b + c, c, error(np.array([0, 0, 1])), union, error(np.ones(3)), c / union, error(jaccard))))
 
 
 def estimates(sketches: DataFrame, groups: list[str], m: int = REGISTERS, base: float = BASE) -> DataFrame:
@@ -197,7 +238,7 @@ def joint(pairs: DataFrame, groups: list[str], m: int = REGISTERS, base: float =
     packed = pairs.groupBy(*groups).agg(
         F.collect_list("left_value").alias("left_values"), F.collect_list("right_value").alias("right_values")
     )
-    keys = ("left_count", "right_count", "both", "either", "jaccard", "jaccard_error")
+    keys = JOINT
 
     def solve(batches: Iterable) -> Iterator:
         import pyarrow as pa

@@ -7,6 +7,7 @@ import statistics
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.llm import ledger, radix, setsketch
@@ -17,7 +18,8 @@ ODD = [0.0, -0.0, 1.5, -1.5, 1e-310, -1e-310, 5e-324, 1e308, float("inf"), float
 def test_keys_keep_the_order_and_come_back(spark):
     rnd = random.Random(1)
     values = ODD + [rnd.uniform(-1e6, 1e6) for _ in range(300)] + [rnd.lognormvariate(0, 30) for _ in range(300)]
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", radix.ordered_key(F.col("v")).alias("k"))
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    df = radix.with_key(df, "v", "k")
     rows = df.select("v", "k", radix.value_of(F.col("k")).alias("back")).collect()
     assert all(r.back == r.v for r in rows)
     assert [r.v for r in sorted(rows, key=lambda r: r.k)] == sorted(r.v for r in rows)
@@ -145,3 +147,59 @@ def test_every_region_is_set_against_the_others(spark, tmp_path):
         own, others = {e for x, e in rows if x == g}, {e for x, e in rows if x != g}
         assert abs(r.left_count - len(own)) < 0.1 * len(own) + 2 and abs(r.right_count - len(others)) < 0.1 * len(others)
         assert abs(r.both - len(own & others)) < 0.1 * len(own | others)
+
+
+def test_joint_errors_hold_over_many_sets():
+    """Deviations of intersection, union and similarity, divided by their stated errors, are of the size of one."""
+    rng, m, base = np.random.default_rng(4), 1024, 1.05
+    for a, b, c in ((9000, 4000, 3000), (500, 500, 500), (40, 10, 5), (3000, 0, 600)):
+        z = []
+        for _ in range(25):
+            n = a + b + c
+            reg, val = rng.integers(0, m, n), np.floor(-np.log(rng.random(n)) / np.log(base)).astype(int) + 1
+            left, right = np.zeros(m, int), np.zeros(m, int)
+            np.maximum.at(left, np.r_[reg[:a], reg[a + b :]], np.r_[val[:a], val[a + b :]])
+            np.maximum.at(right, reg[a:], val[a:])
+            got = setsketch.estimate_joint(left, right, m, base)
+            z.append([(got[k] - true) / max(got[f"{k}_error"], 1e-9) for k, true in (("both", c), ("either", n), ("jaccard", c / n))])
+        size = np.sqrt((np.array(z) ** 2).mean(axis=0))
+        assert (size < 1.5).all(), (a, b, c, size)
+    small = setsketch.estimate_joint(np.array([1]), np.array([0]), m, base)
+    assert small["both"] == 0 and small["jaccard"] == 0
+
+
+def test_registers_of_a_small_base_do_not_overflow(spark):
+    df = spark.range(3000).selectExpr("'g' AS g", "CAST(id AS string) AS e")
+    sketches = setsketch.registers(df, ["g"], F.col("e"), m=1024, base=1.0005)
+    assert sketches.agg(F.max("value")).first()[0] > 1 << 13
+    r = setsketch.estimates(sketches, ["g"], m=1024, base=1.0005).first()
+    assert abs(r.estimate - 3000) < 4 * r.standard_error < 600
+
+
+def test_ledger_is_opened_again_and_grows_by_segments(spark, tmp_path):
+    """Batches added by separate sessions give what one batch gives; small batches rewrite nothing large; old files are gone."""
+    folder = f"file://{tmp_path}/book"
+    rows = [(i, f"order_id={i % 300}" if i < 3000 else f"order_id={i % 37}") for i in range(3200)]
+    df = ledger.keyed(spark.createDataFrame(rows, "row_id bigint, record string"), "row_id", "record")
+    one = ledger.Ledger.open(spark, f"file://{tmp_path}/one")
+    one.add(df)
+    parts = [df.where("row_id < 3000"), df.where("row_id BETWEEN 3000 AND 3100"), df.where("row_id > 3100")]
+    sizes = []
+    for part in parts:
+        other = spark.newSession()
+        book = ledger.Ledger.open(other, folder)
+        book.add(part)
+        sizes.append([s["rows"] for s in book.segments])
+        for name in book._tables.values():
+            other.sql(f"DROP TABLE {name}")
+    assert sizes == [[300], [300, 37], [300, 37]]
+    last = ledger.Ledger.open(spark, folder)
+    sort = lambda x: sorted((bytes(r.key), r.copies, r.keep_row) for r in x.entries().collect())
+    assert sort(last) == sort(one) and last.version == 3
+    plan = last.entries()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert len([x for x in (tmp_path / "book").iterdir() if x.name.startswith("segment")]) == 2
+    stale = ledger.Ledger(spark, folder, last.buckets, last.segments, 2)
+    with pytest.raises(RuntimeError):
+        stale.add(parts[2])
+    assert sort(ledger.Ledger.open(spark, folder)) == sort(one)
