@@ -102,13 +102,13 @@ def p3_joint_regions_checked(spark: SparkSession, d: str) -> DataFrame:
     others = held.groupBy("e").agg(F.count("*").alias("holders"))
     known = table(spark, d, "sales").select("region").distinct()
     total = others.agg(F.count("*").alias("all"))
-    own = held.join(others, "e").groupBy("region").agg(F.count_if("holders > 1").alias("x_both"))
+    own = held.join(others, "e").groupBy("region").agg(F.count_if(F.col("holders") > 1).alias("x_both"))
     alone = known.alias("k").join(own.alias("o"), F.col("k.region").eqNullSafe(F.col("o.region")), "left").select(F.col("k.region").alias("x_left"), F.lit("*").alias("x_right"), F.coalesce("x_both", F.lit(0)).alias("x_both"))
     # a region and all others together hold every identifier there is: one number, set beside each row
     parts = [alone.withColumn("x_either", F.lit(total.first()[0]))]
     for a, b in REGION_PAIRS:
         sides = held.where(F.col("region").isin(a, b)).groupBy("e").agg(F.count("*").alias("n"))
-        parts.append(sides.agg(F.count_if("n = 2").alias("x_both"), F.count("*").alias("x_either")).select(F.lit(a).alias("x_left"), F.lit(b).alias("x_right"), "x_both", "x_either"))
+        parts.append(sides.agg(F.count_if(F.col("n") == 2).alias("x_both"), F.count("*").alias("x_either")).select(F.lit(a).alias("x_left"), F.lit(b).alias("x_right"), "x_both", "x_either"))
     exact = reduce(DataFrame.unionByName, parts)
     both = exact.join(p3_joint_regions(spark, d), F.col("left_region").eqNullSafe(F.col("x_left")) & (F.col("right_region") == F.col("x_right")), "left")
     near = lambda est, true, error: F.abs(F.col(est) - true) <= 3 * F.col(error) + F.lit(0.5 if est != "jaccard" else 0.001)
