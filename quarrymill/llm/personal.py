@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.session import cut, write_once
 
-#: Rounds go on until one changes nothing; the log says so if after this many the last still changed something.
-ROUNDS = 20
+#: Rounds end early if one changes nothing; the log says so if after this many the last still changed something.
+ROUNDS = 5
 #: Accepted nodes of up to this many rows (about 40 bytes each) are broadcast.
 BROADCAST_NODES = 200_000
 
