@@ -12,8 +12,12 @@ from quarrymill.functions.coerce import date, decimal, integer
 from quarrymill.model import ROW, Column, Schema
 from quarrymill.operators.validate import PROBLEM, quoted
 
-#: Names that suggest personal data (fixed values).
-PII_HINT = re.compile(r"(?i)(e[-_ ]?mail|phone|mobile|first[-_ ]?name|last[-_ ]?name|full[-_ ]?name|surname|address|passport|ssn|iban|birth)")
+#: Parts of names that suggest personal data (fixed values): any of them anywhere in a name, whatever its case.
+PERSONAL_WORDS = (
+    "name", "email", "e-mail", "e_mail", "e mail", "phone", "mobile", "fax", "address", "street", "postcode", "birth", "dob", "passport", "ssn", "social security",
+    "national id", "iban", "account no", "card", "salary", "wage", "income",
+)
+PII_HINT = re.compile("(?i)" + "|".join(map(re.escape, PERSONAL_WORDS)))
 INFER_SCALE = 18
 
 

@@ -23,9 +23,12 @@ def hidden(col: Column, policy: Policy) -> bool:
 
 
 def sql_profile(data: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
-    """(column, rows, nulls, distinct, lowest, highest, total), texts for values; one aggregate for all columns."""
-    parts = []
-    none = F.lit(None).cast("string")
+    """(column, rows, nulls, distinct, lowest, highest, total), texts for values.
+
+    Counts, ranges and sums come from one aggregate for all columns, and distinct counts from a second one over pairs of column and value,
+    combined on the map side, so that the first one needs no copy of a row per column.
+    """
+    parts, none = [], F.lit(None).cast("string")
     for c in schema.columns:
         v = F.col(c.name)
         ranged, numeric = c.type in RANGED and not hidden(c, policy), c.type in NUMERIC and not hidden(c, policy)
@@ -35,13 +38,17 @@ def sql_profile(data: DataFrame, schema: Schema, policy: Policy) -> DataFrame:
                 F.lit(c.name).alias("column"),
                 F.count("*").alias("rows"),
                 (F.count("*") - F.count(v)).alias("nulls"),
-                F.countDistinct(v).alias("distinct"),
                 (F.min(v).cast("string") if ranged else none).alias("lowest"),
                 (F.max(v).cast("string") if ranged else none).alias("highest"),
                 (total.cast("string") if numeric else none).alias("total"),
             )
         )
-    return data.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+    plain = data.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+    values = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c.name).cast("string").alias("v")) for k, c in enumerate(schema.columns)))
+    counted = data.select(F.explode(values).alias("x")).where("x.v IS NOT NULL").groupBy("x.k", "x.v").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("*").alias("distinct"))
+    named = F.element_at(F.array(*(F.lit(c.name) for c in schema.columns)), F.col("k") + 1)
+    both = plain.join(F.broadcast(counted.select(named.alias("column"), "distinct")), "column", "left")  # a row per column
+    return both.select("column", "rows", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "lowest", "highest", "total")
 
 
 def _add(batches: Iterable, kinds: list[tuple[str, str, bool]]) -> Iterator:

@@ -3,9 +3,13 @@
 One scan counts rows by load and category (nulls, values outside the schema, region and paid); another counts the values
 of amount per load with their categories. Both combine on the map side, so a load that holds a third of the rows sends
 no more than its distinct combinations. A logistic regression per load (operators/shift_test.py), trained where the cells
-of the load and of its first load meet, yields cross-fitted discrimination and its loss when a column is
-left out. Exact comparisons alone decide the findings, all in integers: a change within one cell of the classifier leaves its
-discrimination at chance, so its figures stand beside a finding and never remove one.
+of the load and of its first load meet, yields cross-fitted discrimination and its loss when a column is left out. Its amounts lie in quantiles
+of both loads together, each at most a 32nd of them unless a single narrow bin holds more.
+
+Changes of a distribution come from this test: an exact comparison, all in integers, follows for every load and column that the classifier
+tells apart, and for every one it leaves open. A column is left open if some distribution with the counted cells would exceed the limit:
+inside a cell the worst is assumed (for amount that all values of one load lie below those of the other, for region that they share none). So
+whatever exceeds a limit is open, and the test can save comparisons but never lose a finding. Null rates, limits and distinct values are base aggregates.
 
 The largest gap between two cumulative distributions is bounded from counts over logarithmic bins; only bins in which the
 gap may pass the limit are looked at value by value.
@@ -28,8 +32,12 @@ from quarrymill.operators import shift_test
 from quarrymill.session import cut, write_once
 
 REGIONS = ("EU", "US", "APAC")
+COLUMNS = ("amount", "region", "paid")
+NO_AMOUNT = -(1 << 30)
 OTHER_REGIONS = 12
 NULL_GAP, LIMIT_SHARE, KS_GAP, TV_GAP = (1, 10), (1, 50), (1, 5), (3, 20)
+#: The classifier's amounts lie in so many quantiles of both loads, made of bins of which so many go to an octave.
+QUANTILES, PER_OCTAVE = 32, 16
 #: A column counts as told apart if its cross-fitted discrimination may exceed this (chance is 0.5), given three standard errors.
 AUC_LEAST = 0.51
 _INT = "decimal(38,0)"
@@ -106,47 +114,49 @@ class LoadQuality:
         cells = (
             self.values.select(
                 "load_id",
-                F.coalesce(log_bin(F.col("amount"), 4), F.lit(-(1 << 30))).alias("bin"),
-                F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(20)).cast("int").alias("copies"),
+                F.coalesce(log_bin(F.col("amount"), PER_OCTAVE), F.lit(NO_AMOUNT)).alias("bin"),
                 part.alias("part"),
             )
-            .groupBy("load_id", "bin", "copies", F.col("part.category").alias("category"))
+            .groupBy("load_id", "bin", F.col("part.category").alias("category"))
             .agg(F.sum("part.n").alias("n"))
         )
-        cells = cells.withColumn("cell", F.struct("bin", "copies", F.col("category").cast("int").alias("category"), "n"))
+        cells = cells.withColumn("cell", F.struct("bin", F.col("category").cast("int").alias("category"), "n"))
         cells = cut(cells.groupBy("load_id").agg(F.collect_list("cell").alias("cells")))  # bounded by the categories
         own = cells.join(self.against, "load_id")
         first = cells.select(F.col("load_id").alias("first_load"), F.col("cells").alias("first_cells"))
         schema = "load_id bigint, first_load bigint, auc_error double, auc_all double, " + ", ".join(
-            f"auc_without_{c} double, auc_only_{c} double" for c in ("amount", "region", "paid")
+            f"auc_without_{c} double, auc_only_{c} double" for c in COLUMNS
         )
+        schema += "".join(f", open_{c} boolean" for c in COLUMNS)
         paired = own.join(first, "first_load").select("load_id", "first_load", "cells", "first_cells")
         return paired.repartition(F.col("load_id")).mapInArrow(_test_batches, schema)
 
     @staticmethod
     def figures(tests: DataFrame) -> DataFrame:
-        """(load_id, column_name, auc, auc_error, told_apart): what the classifier says of each column of a load."""
+        """(load_id, column_name, auc, auc_error, told_apart, open): what the classifier says of each column of a load, and leaves open."""
         c = lambda name: F.struct(
             F.lit(name).alias("column_name"),
             F.greatest(F.col(f"auc_only_{name}"), F.lit(0.5) + F.col("auc_all") - F.col(f"auc_without_{name}")).alias("auc"),
+            F.col(f"open_{name}").alias("open"),
         )
         return (
             tests.select("load_id", "auc_error", F.explode(F.array(c("amount"), c("region"), c("paid"))).alias("c"))
-            .select("load_id", "c.column_name", "c.auc", "auc_error")
+            .select("load_id", "c.column_name", "c.auc", "auc_error", "c.open")
             .withColumn("told_apart", F.col("auc") + 3 * F.col("auc_error") > AUC_LEAST)
         )
 
-    def _beside_first(self, counts: DataFrame, value: str) -> DataFrame:
-        """(load_id, value, a, b): counts of a load and of its first load. counts: load_id, value, n."""
-        mine = counts.join(self.against.select("load_id"), "load_id").select("load_id", value, F.col("n").alias("a"), F.lit(0).alias("b"))
-        ref = counts.withColumnRenamed("load_id", "first_load").join(self.against, "first_load")
+    @staticmethod
+    def _beside_first(counts: DataFrame, value: str, pairs: DataFrame) -> DataFrame:
+        """(load_id, value, a, b): counts of a load and of its first load. counts: load_id, value, n; pairs: load_id, first_load."""
+        mine = counts.join(pairs.select("load_id"), "load_id").select("load_id", value, F.col("n").alias("a"), F.lit(0).alias("b"))
+        ref = counts.withColumnRenamed("load_id", "first_load").join(pairs, "first_load")
         both = mine.unionByName(ref.select("load_id", value, F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b")))
         return both.groupBy("load_id", value).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-    def _share_change(self, column: str) -> DataFrame:
+    def _share_change(self, column: str, pairs: DataFrame) -> DataFrame:
         """Loads in which half the sum of the absolute differences of shares exceeds the limit."""
         counts = self.base.where(F.col(column).isNotNull()).groupBy("load_id", column).agg(F.sum("n").alias("n"))
-        both = self._beside_first(counts, column)
+        both = self._beside_first(counts, column, pairs)
         size = both.groupBy("load_id").agg(F.sum("a").cast(_INT).alias("an"), F.sum("b").cast(_INT).alias("bn"))
         gap = F.sum(F.abs(F.col("a").cast("decimal(18,0)") * F.col("bn").cast("decimal(18,0)") - F.col("b").cast("decimal(18,0)") * F.col("an").cast("decimal(18,0)")))
         up, down = TV_GAP
@@ -159,11 +169,12 @@ class LoadQuality:
             .select("load_id")
         )
 
-    def _cumulative_change(self) -> DataFrame:
-        """Loads whose amounts' cumulative distribution departs from that of the first load by more than the limit."""
+    def _cumulative_change(self, pairs: DataFrame | None = None) -> DataFrame:
+        """Loads (of the pairs given, else all) whose amounts' cumulative distribution departs from that of the first load by more than the limit."""
         up, down = KS_GAP
+        pairs = self.against if pairs is None else pairs
         binned = self.values.where("amount IS NOT NULL").withColumn("bin", log_bin(F.col("amount"), 64))
-        both = self._beside_first(binned.groupBy("load_id", "bin").agg(F.sum("n").alias("n")), "bin")
+        both = self._beside_first(binned.groupBy("load_id", "bin").agg(F.sum("n").alias("n")), "bin", pairs)
         whole = Window.partitionBy("load_id")
         along = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         run = (
@@ -184,7 +195,7 @@ class LoadQuality:
         rest = rest.select("load_id", "bin", "an", "bn", (F.col("ca") - F.col("a")).alias("a0"), (F.col("cb") - F.col("b")).alias("b0"))
         inside = binned.select("load_id", "bin", "amount", "n")
         mine = rest.join(inside, ["load_id", "bin"]).select(*rest.columns, "amount", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-        ref = rest.join(self.against, "load_id").join(
+        ref = rest.join(pairs, "load_id").join(
             inside.withColumnRenamed("load_id", "first_load"), ["first_load", "bin"]
         ).select(*rest.columns, "amount", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
         step = Window.partitionBy("load_id", "bin").orderBy("amount").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -201,13 +212,18 @@ class LoadQuality:
         return cut(self.report()).select("load_id", "column_name", "finding")
 
     def report(self) -> DataFrame:
-        """(load_id, column_name, finding, auc, auc_error, told_apart): the findings, each with the classifier's figures (null for
+        """(load_id, column_name, finding, auc, auc_error, open, told_apart): the findings, each with the classifier's figures (null for
         a load that has no first load other than itself)."""
         totals = cut(self.totals())
         figures = cut(self.figures(self.tests()))
         first = totals.select(F.col("load_id").alias("first_load"), *(F.col(c).alias(f"f_{c}") for c in totals.columns[1:]))
         beside = totals.join(self.against, "load_id").join(first, "first_load")
         parts = []
+        candidates = figures.where("told_apart OR open")
+
+        def compared(column: str) -> DataFrame:
+            """The pairs of loads whose column the test tells apart or leaves open."""
+            return self.against.join(F.broadcast(candidates.where(F.col("column_name") == column).select("load_id")), "load_id")
 
         def finding(rows: DataFrame, column: str, name: str) -> DataFrame:
             return rows.select("load_id", F.lit(column).alias("column_name"), F.lit(name).alias("finding"))
@@ -221,8 +237,8 @@ class LoadQuality:
         rarer = _product(F.col("amounts"), first_values) * 2 < _product(F.col("f_amounts"), values)
         parts.append(finding(beside.where((values > 0) & (first_values > 0) & rarer), "amount", "distinct"))
         for c in ("region", "paid"):
-            parts.append(finding(self._share_change(c), c, "distribution"))
-        parts.append(finding(self._cumulative_change(), "amount", "distribution"))
+            parts.append(finding(self._share_change(c, compared(c)), c, "distribution"))
+        parts.append(finding(self._cumulative_change(compared("amount")), "amount", "distribution"))
         up, down = LIMIT_SHARE
         parts += [
             finding(totals.where(F.col(bad) * down > (F.col("n") - F.col(none)) * up), c, "out_of_limits")
@@ -238,25 +254,67 @@ def _product(a: Column, b: Column) -> Column:
 def _test_batches(batches: Iterable) -> Iterator:
     import pyarrow as pa
 
-    names = ["error", "all", *(f"{k}_{c}" for c in ("amount", "region", "paid") for k in ("without", "only"))]
+    names = ["error", "all", *(f"{k}_{c}" for c in COLUMNS for k in ("without", "only"))]
     for batch in batches:
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
-            found = _test_one(*(one.column(c).flatten() for c in (2, 3)))
+            found, doubt = _test_one(*(one.column(c).flatten() for c in (2, 3)))
             yield pa.record_batch(
-                [one.column(0), one.column(1), *(pa.array([found[k]], pa.float64()) for k in names)],
-                names=["load_id", "first_load", *(f"auc_{k}" for k in names)],
+                [one.column(0), one.column(1), *(pa.array([found[k]], pa.float64()) for k in names), *(pa.array([doubt[c]], pa.bool_()) for c in COLUMNS)],
+                names=["load_id", "first_load", *(f"auc_{k}" for k in names), *(f"open_{c}" for c in COLUMNS)],
             )
 
 
-def _test_one(mine, first) -> dict:
+def _test_one(mine, first) -> tuple[dict, dict]:
+    """The classifier's figures for a load and its first load, and per column whether the counted cells leave a change above the limit open."""
     get = lambda c: np.concatenate([first.field(c).to_numpy(), mine.field(c).to_numpy()]).astype(np.int64)
-    bins, copies, category, n = (get(c) for c in ("bin", "copies", "category", "n"))
+    bins, category, n = (get(c) for c in ("bin", "category", "n"))
     second = np.arange(len(n)) >= len(first)
     fold, paid, region = category % 2, category // 2 % 4, category // 8
-    bins = np.unique(bins, return_inverse=True)[1]
     n0, n1 = np.where(second, 0, n).astype(float), np.where(second, n, 0).astype(float)
-    return shift_test.discriminate({"amount": [bins, copies], "region": [region], "paid": [paid]}, fold, n0, n1)
+    found = shift_test.discriminate({"amount": [quantile_groups(bins, n0, n1)], "region": [region], "paid": [paid]}, fold, n0, n1)
+    return found, {
+        "amount": widest_gap(bins, n0, n1) > KS_GAP[0] / KS_GAP[1] - 1e-9,
+        "region": widest_distance(region, n0, n1, split=region > len(REGIONS)) > TV_GAP[0] / TV_GAP[1] - 1e-9,
+        "paid": widest_distance(paid, n0, n1) > TV_GAP[0] / TV_GAP[1] - 1e-9,
+    }
+
+
+def _shares(at: np.ndarray, n0: np.ndarray, n1: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.bincount(at, n1, size), np.bincount(at, n0, size)
+    return a / max(a.sum(), 1.0), b / max(b.sum(), 1.0)
+
+
+def quantile_groups(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """A number per cell: the quantile of both samples (of equal weight) in which its bin lies; bins are not divided."""
+    values, at = np.unique(bins, return_inverse=True)
+    a, b = _shares(at, n0, n1, len(values))
+    weight = (a + b) / 2
+    group = np.floor((np.cumsum(weight) - weight / 2) * QUANTILES).astype(np.int64)
+    group[values == NO_AMOUNT] = -1
+    return np.unique(group, return_inverse=True)[1][at]
+
+
+def widest_gap(bins: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+    """The largest gap between two cumulative distributions that have these counts in rising bins, however the values lie within them."""
+    held = bins != NO_AMOUNT
+    values, at = np.unique(bins[held], return_inverse=True)
+    if not len(values) or not n0[held].sum() or not n1[held].sum():
+        return 0.0
+    a, b = _shares(at, n0[held], n1[held], len(values))
+    ca, cb = np.cumsum(a), np.cumsum(b)
+    return float(max(np.abs(ca - (cb - b)).max(), np.abs((ca - a) - cb).max()))
+
+
+def widest_distance(classes: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: np.ndarray | None = None) -> float:
+    """Half the sum of the differences of shares of the values (class 0: null, left out); a class that is ``split`` holds several values, of which the samples may share none."""
+    held = classes > 0
+    if not n0[held].sum() or not n1[held].sum():
+        return 0.0
+    size = int(classes.max()) + 1
+    a, b = _shares(classes[held], n0[held], n1[held], size)
+    several = np.zeros(size, bool) if split is None else np.bincount(classes[held], split[held], size) > 0
+    return float(np.where(several, a + b, np.abs(a - b)).sum() / 2)
 
 
 #: The schema's columns with the test of a single value (of those that the type does not hold already).

@@ -43,19 +43,27 @@ class AuditLog:
             f.seek(0)
             yield f
 
-    def _parse(self, text: str) -> list[dict]:
-        records, before = [], START
-        if text and not text.endswith("\n"):
-            raise AuditError("the log ends within a record")
-        for n, line in enumerate(text.splitlines(), 1):
+    @staticmethod
+    def _intact(text: str) -> tuple[list[dict], str | None]:
+        """The records before the first damage, and what is wrong with the next one."""
+        records: list[dict] = []
+        for line in text.splitlines(keepends=True):
+            n = len(records) + 1
+            if not line.endswith("\n"):
+                return records, f"record {n} is cut off"
             try:
                 r = json.loads(line)
             except ValueError:
-                raise AuditError(f"record {n} is not JSON") from None
-            if not isinstance(r, dict) or r.get("seq") != n or r.get("prev") != before or r.get("hash") != digest(r):
-                raise AuditError(f"record {n} breaks the chain")
+                return records, f"record {n} is not JSON"
+            if not isinstance(r, dict) or (r.get("seq"), r.get("prev")) != (n, records[-1]["hash"] if records else START) or r.get("hash") != digest(r):
+                return records, f"record {n} breaks the chain"
             records.append(r)
-            before = r["hash"]
+        return records, None
+
+    def _parse(self, text: str) -> list[dict]:
+        records, fault = self._intact(text)
+        if fault:
+            raise AuditError(fault)
         return records
 
     def append(
@@ -89,11 +97,19 @@ class AuditLog:
             return self._parse(f.read())
 
     def verify(self) -> tuple[bool, int, str]:
+        """(whether the whole log is intact, records before the first damage, what was found)."""
+        if not os.path.exists(self.path):
+            return True, 0, "0 records, chain intact"
+        with open(self.path, "rb") as f:
+            data = f.read()
         try:
-            n = len(self.records())
-        except AuditError as e:
-            return False, 0, str(e)
-        return True, n, f"{n} records, chain intact"
+            text = data.decode()
+        except UnicodeDecodeError as e:
+            text = data[: e.start].decode()
+            text = text[: text.rfind("\n") + 1]
+            return False, len(self._intact(text)[0]), "the log is not UTF-8 text"
+        records, fault = self._intact(text)
+        return fault is None, len(records), fault or f"{len(records)} records, chain intact"
 
     def head(self) -> str:
         records = self.records()

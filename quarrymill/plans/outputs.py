@@ -133,7 +133,7 @@ def report(doc: dict) -> str:
     lines.append("- Metrics were not recomputed; only their input was verified.")
     for name, m in doc.get("results", {}).get("metrics", {}).items():
         lines += ["", f"## {esc(name)}", "", esc(m["description"]), "", "| " + " | ".join(map(esc, m["columns"])) + " |", "|" + "---|" * len(m["columns"])]
-        lines += ["| " + " | ".join(map(esc, r)) + " |" for r in m["rows"][:50]]
+        lines += ["| " + " | ".join(map(esc, r)) + " |" for r in m["rows"]]
     return "\n".join(lines) + "\n"
 
 

@@ -39,7 +39,7 @@ def run(
     path: str,
     *,
     workdir: str,
-    policy: str = "low",
+    policy: str = "business",
     schema: Schema | None = None,
     analysis: Analysis | None = None,
     accept_inferred: bool = False,

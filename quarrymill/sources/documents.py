@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import sqlite3
 import time
 from collections.abc import Iterable, Iterator
@@ -16,7 +18,7 @@ from quarrymill.model import ROW
 from quarrymill.operators.validate import PROBLEM, quoted
 from quarrymill.sources.preflight import SourceInfo, check_memory
 
-MAX_DEPTH = 100
+MAX_DEPTH, MAX_EXPONENT = 100, 1000
 NOT_OBJECT = "the record is not an object"
 NESTED = "the record is nested too deeply or two of its keys flatten to one name"
 SQL_SECONDS, SQL_DB_BYTES, SQL_VALUE_BYTES = 10, 512 << 20, 32 << 20
@@ -48,7 +50,8 @@ def cell(v) -> str | None:
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, Decimal):
-        return format(v, "f")
+        # an extreme exponent would become a text as long as the number is wide: it stays as written, and is no valid number then
+        return format(v, "f") if not v.is_finite() or abs(v.adjusted()) <= MAX_EXPONENT else str(v)
     if isinstance(v, float):
         return format(Decimal(repr(v)), "f")
     if isinstance(v, bytes):
@@ -135,11 +138,44 @@ def read_json(spark: SparkSession, info: SourceInfo, records_path: str | None =
     return out
 
 
+def decoded_lines(spark: SparkSession, info: SourceInfo) -> DataFrame:
+    """(value): the file's lines in its encoding. Bytes that do not fit it are refused, not replaced.
+
+    Files in an encoding in which a line end is the byte of ASCII are split by all tasks and decoded there from the raw bytes.
+    """
+    encoding = codecs.lookup(info.encoding).name
+    if encoding.startswith(("utf-16", "utf-32")):
+        raise SourceError("a file in this encoding cannot be divided into lines")
+    text = spark.read.text(info.path)  # the bytes of a line as they are
+
+    def decode(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for line in b.column(0).to_pylist():
+                try:
+                    out.append(line.decode(encoding))
+                except UnicodeDecodeError:
+                    raise SourceError("the file's bytes do not fit its encoding") from None
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+
+    if encoding in ("utf-8", "utf-8-sig", "ascii"):
+        bad = ~F.is_valid_utf8("value") if encoding != "ascii" else F.octet_length("value") != F.length("value")
+        if text.where(bad).limit(1).count():
+            raise SourceError("the file's bytes do not fit its encoding")
+        return text.select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    checked = text.select(F.col("value").cast("binary").alias("value")).mapInArrow(decode, "value string")
+    try:
+        checked.agg(F.count("*")).first()
+    except Exception as e:
+        raise SourceError("the file's bytes do not fit its encoding") from e
+    return checked
+
+
 def read_lines(spark: SparkSession, info: SourceInfo) -> DataFrame:
     """One object per line; blank lines are skipped; a bad line is a problem of its own row. Lines are parsed on the workers."""
-    lines = spark.read.text(info.path)
-    bom = F.regexp_replace("value", "^﻿", "")
-    kept = lines.select(bom.alias("value"), F.spark_partition_id().alias("part")).where(F.length(F.trim("value")) > 0)
+    kept = decoded_lines(spark, info).where(F.length(F.trim("value")) > 0).select("value", F.spark_partition_id().alias("part"))
     sizes = {r["part"]: r["n"] for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before, start = 0, {}
     for p in sorted(sizes):
@@ -179,13 +215,19 @@ def read_lines(spark: SparkSession, info: SourceInfo) -> DataFrame:
     return out
 
 
+#: What statements of a dump may do (fixed values): nothing that reaches another file or a setting.
 _ALLOWED = {
-    sqlite3.SQLITE_CREATE_TABLE, sqlite3.SQLITE_CREATE_INDEX, sqlite3.SQLITE_INSERT, sqlite3.SQLITE_READ, sqlite3.SQLITE_SELECT, sqlite3.SQLITE_TRANSACTION,
-    sqlite3.SQLITE_UPDATE, sqlite3.SQLITE_FUNCTION, sqlite3.SQLITE_REINDEX, sqlite3.SQLITE_DROP_TABLE,
+    getattr(sqlite3, f"SQLITE_{name}")
+    for name in (
+        "CREATE_TABLE", "CREATE_INDEX", "DROP_TABLE", "DROP_INDEX", "INSERT", "UPDATE", "DELETE", "SELECT", "READ", "TRANSACTION", "SAVEPOINT", "RECURSIVE", "REINDEX", "FUNCTION",
+    )
 }
 _DENIED_FUNCTIONS = {"load_extension", "readfile", "writefile", "edit", "fts3_tokenizer", "zeroblob", "randomblob"}
 
 
+_SETTINGS = re.compile(r"\A\ufeff?\s*PRAGMA\s+foreign_keys\s*=\s*(?:OFF|0)\s*;", re.I)
+
+
 def _authorize(action, first, second, _db, _source):
     if action == sqlite3.SQLITE_FUNCTION and (second or "").lower() in _DENIED_FUNCTIONS:
         return sqlite3.SQLITE_DENY
@@ -203,7 +245,8 @@ def read_dump(spark: SparkSession, info: SourceInfo, table: str | None = None, m
     end = time.monotonic() + SQL_SECONDS
     con.set_progress_handler(lambda: int(time.monotonic() > end), 10_000)
     try:
-        con.executescript(text)
+        # the shell's dumps begin with a setting that concerns no single table
+        con.executescript(_SETTINGS.sub("", text))
         con.set_authorizer(None)
         tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
         if table is None and len(tables) != 1:

@@ -20,6 +20,7 @@ SIGNATURES = {
     b"\xfe\xff": "UTF-16 text",
     b"\x1f\x8b": "gzip",
     b"PK\x03\x04": "zip or a spreadsheet",
+    b"PK\x05\x06": "an empty zip",
     b"\xfd7zXZ\x00": "xz",
     b"\x28\xb5\x2f\xfd": "zstd",
     b"7z\xbc\xaf\x27\x1c": "7z",
@@ -29,6 +30,7 @@ SIGNATURES = {
     b"\x89PNG\r\n\x1a\n": "a PNG image",
     b"\xff\xd8\xff": "a JPEG image",
 }
+#: The fourth byte of bzip2 is a digit.
 SIGNATURES_WITH_NUL = {b"%PDF-": "PDF", b"PAR1": "Parquet", b"BZh": "bzip2", b"GIF8": "a GIF image"}
 #: Estimated bytes that a parsed row and a parsed cell take on the driver, for formats that are read there.
 ROW_BYTES, CELL_BYTES = 400, 170
@@ -59,7 +61,7 @@ def detect_format(path: str, head: str) -> str:
 def binary_kind(head: bytes, has_nul: bool) -> str | None:
     for table in (SIGNATURES, SIGNATURES_WITH_NUL if has_nul else {}):
         for mark, kind in table.items():
-            if head.startswith(mark):
+            if head.startswith(mark) and (mark != b"BZh" or head[3:4].isdigit()):
                 return kind
     return None
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import random
 from datetime import date, timedelta
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +62,18 @@ HEADER = (
 )
 
 
-def generate_buyers(path: str, rows: int, bad_percent: float = 0.5, seed: int = 1) -> int:
-    """Writes invented buyers with a share of deliberate errors of six kinds; returns the number of rows."""
+def generate_buyers(path: str, rows: int, bad_percent: float = 0.5, seed: int = 1, megabytes: float | None = None) -> int:
+    """Writes invented buyers with a share of deliberate errors of six kinds; returns the number of rows.
+
+    With ``megabytes`` rows are written until the file is that large, whatever ``rows`` says.
+    """
     rnd, previous = random.Random(seed), 0
     with open(path, "w", encoding="utf-8", newline="") as f:
         w = csv.writer(f)
         w.writerow(HEADER)
-        for i in range(1, rows + 1):
+        for i in count(1):
+            if i > rows if megabytes is None else f.tell() >= megabytes * (1 << 20):
+                return i - 1
             r = [
                 i, f"Buyer {i:07d}", f"buyer{i}@mail{i % 7}.example", rnd.choice(COUNTRIES), rnd.choice(AGES), f"category_{rnd.randrange(10)}", rnd.choice(CHANNELS),
                 f"{rnd.randrange(10_001) / 100:.2f}", f"{rnd.randrange(200_000) / 100:.2f}", (date(2024, 1, 1) + timedelta(rnd.randrange(700))).isoformat(),
@@ -82,4 +88,3 @@ def generate_buyers(path: str, rows: int, bad_percent: float = 0.5, seed: int =
                     r[at] = value
             previous = r[0]
             w.writerow(r)
-    return rows

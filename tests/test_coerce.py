@@ -87,10 +87,10 @@ def test_formula_guard(spark):
 
 
 def test_shapes(spark):
-    cells = ["Ab12-c", "AB 123456", "ünïcode", "x" * 100, "a\tb", "", "日本7"]
+    cells = ["Ab12-c", "AB 123456", "ünïcode", "x" * 100, "a\tb", "", "日本7", "1", "a1b22", "x\u00a0y", "a\x01b", "line\nend", "½", "7" * 70]
     rows = spark.createDataFrame([(c,) for c in cells], "c string").select(shape(F.col("c")).alias("s")).collect()
     assert [r.s for r in rows] == [shape_of(c) for c in cells]
-    assert shape_of("Ab12-c") == "A+a+9{2}-a+"
+    assert shape_of("Ab12-c") == "A+a+9{2}-a+" and shape_of("a1\tb") == "a+9 a+"
     assert all(not re.search("[b-zB-KM-Z]", s.replace("?", "")) for s in (shape_of(c) for c in cells))
 
 

@@ -137,7 +137,7 @@ def test_gates(spark, tmp_path):
     assert pipeline.run(spark, path, workdir=work, policy="low")["status"] == "COMPLETED_WITH_WARNINGS"
     assert pipeline.run(spark, str(tmp_path / "none.csv"), workdir=work)["status"] == "FAILED"
     (tmp_path / "head.csv").write_text("a,b\n")
-    assert pipeline.run(spark, str(tmp_path / "head.csv"), workdir=work)["status"] == "BLOCKED"
+    assert pipeline.run(spark, str(tmp_path / "head.csv"), workdir=work, policy="low")["status"] == "BLOCKED"
 
 
 def test_audit_detects_edits(tmp_path):
@@ -148,7 +148,8 @@ def test_audit_detects_edits(tmp_path):
     for changed in (lines[0] + lines[2], lines[1] + lines[0] + lines[2], lines[0].replace('"n":0', '"n":9') + "".join(lines[1:]), "".join(lines)[:-5]):
         with open(log.path, "w") as f:
             f.write(changed)
-        assert not log.verify()[0]
+        ok, intact, _ = log.verify()
+        assert not ok and intact == {lines[0] + lines[2]: 1, "".join(lines)[:-5]: 2}.get(changed, 0)
         with pytest.raises(AuditError):
             log.append("e")
 
@@ -187,7 +188,8 @@ def test_mapping(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     out = str(tmp_path / "b.csv")
     assert cli.main(["sample", out, "--rows", "50", "--bad-percent", "20"]) == 0
-    assert cli.main(["run", out, "--workdir", str(tmp_path / "w")], spark) == 0
+    assert cli.main(["run", out, "--workdir", str(tmp_path / "w"), "--policy", "low"], spark) == 0
+    assert cli.main(["run", out, "--workdir", str(tmp_path / "w")], spark) == 1  # the tier is business unless named
     assert "COMPLETED" in capsys.readouterr().out
     assert cli.main(["infer", out], spark) == 0
     assert cli.main(["verify-audit", "--workdir", str(tmp_path / "w")]) == 0
@@ -211,3 +213,64 @@ def test_inbox_stream(spark, tmp_path):
         (box / "b.jsonl").write_text('{"a": "2"}\n')
     assert sorted(r.a for r in spark.read.parquet(str(out / "valid")).collect()) == [1, 2]
     assert spark.read.parquet(str(out / "quarantine")).count() == 2
+
+
+def test_dumps_as_the_shell_writes_them(spark, tmp_path):
+    body = """PRAGMA foreign_keys=OFF;
+BEGIN TRANSACTION;
+DROP TABLE IF EXISTS t;
+CREATE TABLE t (id INTEGER PRIMARY KEY AUTOINCREMENT, v TEXT);
+SAVEPOINT a;
+INSERT INTO t VALUES(1,'x');
+DELETE FROM sqlite_sequence;
+INSERT INTO sqlite_sequence VALUES('t',1);
+RELEASE a;
+COMMIT;
+"""
+    (tmp_path / "d.sql").write_text(body)
+    raw, _ = read_source(spark, str(tmp_path / "d.sql"))
+    assert [(r.id, r.v) for r in raw.collect()] == [("1", "x")]
+    for bad in ("ATTACH DATABASE '/tmp/x.db' AS x;", "PRAGMA writable_schema=1;", "CREATE TABLE t (a); INSERT INTO t VALUES (readfile('/etc/passwd'));"):
+        (tmp_path / "bad.sql").write_text(bad)
+        with pytest.raises(SourceError):
+            read_source(spark, str(tmp_path / "bad.sql"))
+
+
+def test_lines_in_other_encodings(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes('{"a": "grün"}\n{"a": "1e999999999"}\n{"a": 1e999999999}\n'.encode("latin-1"))
+    raw, _ = read_source(spark, str(tmp_path / "a.jsonl"), encoding="latin-1")
+    assert [r.a for r in raw.orderBy("_row").collect()] == ["grün", "1e999999999", "1E+999999999"]
+    with pytest.raises(SourceError):
+        read_source(spark, str(tmp_path / "a.jsonl"))
+    (tmp_path / "b.jsonl").write_text('\ufeff{"a": "\ufffd"}\n', encoding="utf-8")
+    assert [r.a for r in read_source(spark, str(tmp_path / "b.jsonl"))[0].collect()] == ["\ufffd"]
+
+
+def test_personal_names_of_columns():
+    from quarrymill.operators.infer import PII_HINT
+
+    assert all(PII_HINT.search(n) for n in ("name", "customer name", "dob", "salary", "card_no", "E-Mail", "Mobile", "street"))
+    assert not any(PII_HINT.search(n) for n in ("region", "amount", "order_date", "paid", "notes"))
+
+
+def test_pairs_are_judged_by_all_columns(spark):
+    raw = spark.createDataFrame([(k, None, str(k), str(k * 2), "x", None) for k in range(1, 9)], "_row bigint, _problem string, `Order No` string, weight string, text string, nothing string")
+    target = schema_from_dict({"columns": [{"name": "order_id", "type": "integer", "unique": True}, {"name": "depth", "type": "integer"}, {"name": "note", "type": "string"}]})
+    ask = lambda *pairs: mapping.verify_items(raw, target, [{"source": s, "target": t, "confidence": c, "reason": ""} for s, t, c in pairs])
+    got = ask(("weight", "depth", 0.9), ("Order No", "order_id", 0.95), ("text", "depth", 0.99), ("Order No", "note", 0.94), ("zzz", "note", 1.0), ("nothing", "note", 0.85))
+    assert [(m["source"], m["target"], m["verdict"]) for m in got] == [
+        ("zzz", "note", "rejected"), ("text", "depth", "rejected"), ("Order No", "order_id", "accepted"), ("Order No", "note", "rejected"),
+        ("weight", "depth", "needs_review"), ("nothing", "note", "needs_review"),
+    ]
+    assert got[4]["evidence"]["alternatives"] == ["Order No"]
+    with pytest.raises(MappingError):
+        mapping.verify_manual(raw, target, "nothing", "note")
+    assert mapping.verify_manual(raw, target, "weight", "depth")["notes"] == ["the names differ"]
+    assert mapping.Heuristic().propose({"columns": [], "target": []}) == []
+
+
+def test_report_prints_every_row():
+    from quarrymill.plans import outputs
+
+    doc = {"run_id": "r", "status": "COMPLETED", "policy": "low", "input": "x", "results": {"metrics": {"m": {"description": "", "columns": ["a"], "rows": [[k] for k in range(120)]}}}}
+    assert outputs.report(doc).count("\n| ") == 120 + 3

@@ -122,7 +122,7 @@ def test_changes_within_a_cell_of_the_classifier(spark):
     table = spark.range(2 * n).select(
         F.col("id").alias("sale_row"),
         F.when(second, 2).otherwise(1).cast("bigint").alias("load_id"),
-        F.when(k % 3 == 0, F.when(second, 105).otherwise(100)).otherwise(200).cast("decimal(38,2)").alias("amount"),
+        F.when(k % 3 == 0, F.when(second, 101).otherwise(100)).otherwise(200).cast("decimal(38,2)").alias("amount"),
         F.when(k % 5 == 0, F.when(second, other).otherwise(one)).otherwise("EU").alias("region"),
         F.lit(True).alias("paid"),
     )
@@ -168,3 +168,34 @@ def test_asof_and_interval(spark, bucket):
     spans = spark.createDataFrame([("a", 5, 30), ("b", 0, 7), ("a", 9, 9)], "k string, s int, e int")
     n = joins.interval_join(l, spans, ["k"], "t", "s", "e", 7).count()
     assert n == sum(k == "a" and 5 <= t < 30 or k == "b" and 0 <= t < 7 for _, k, t in left)
+
+
+@pytest.mark.parametrize("n", [400, 40_000])
+def test_amounts_within_a_cell_are_found_at_every_size(spark, n):
+    """Disjoint amounts that lie in one cell of the classifier: it is left at chance, but the cell leaves the change open."""
+    sales = spark.range(2 * n).selectExpr(
+        "id AS sale_row", "1 + id % 2 AS load_id", "CAST(CASE WHEN id % 2 = 0 THEN 100.00 ELSE 102.00 END + (id % 199) / 100 AS decimal(38,2)) AS amount", "'EU' AS region", "true AS paid"
+    )
+    loads = spark.createDataFrame([(1, "s"), (2, "s")], "load_id bigint, source string")
+    got = quality.LoadQuality(sales, loads).report().collect()
+    assert [(r.load_id, r.column_name, r.finding) for r in got] == [(2, "amount", "distribution")] and got[0].open
+    if n > 1000:
+        assert not got[0].told_apart
+
+
+def test_bounds_hold_whatever_lies_within_the_cells():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = rng.normal(0, 1, rng.integers(1, 60)), rng.normal(rng.random(), 1, rng.integers(1, 60))
+        bins = np.floor(np.r_[b, a] * rng.choice([0.5, 1, 3])).astype(np.int64)
+        n0, n1 = np.r_[np.ones(len(b)), np.zeros(len(a))], np.r_[np.zeros(len(b)), np.ones(len(a))]
+        grid = np.sort(np.r_[a, b])
+        gap = np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a) - np.searchsorted(np.sort(b), grid, "right") / len(b)).max()
+        assert gap <= quality.widest_gap(bins, n0, n1) + 1e-12
+        classes = rng.integers(0, 5, len(bins))
+        groups = quality.quantile_groups(bins, n0, n1)
+        assert (np.diff(groups[np.argsort(bins, kind="stable")]) >= 0).all() and len(groups) == len(bins)
+        p, q = (np.bincount(c, minlength=5)[1:] / max(1, (c > 0).sum()) for c in (classes[len(b) :], classes[: len(b)]))
+        if p.sum() and q.sum():
+            assert abs(quality.widest_distance(classes, n0, n1) - np.abs(p - q).sum() / 2) < 1e-12
+            assert quality.widest_distance(classes, n0, n1, classes > 2) >= np.abs(p - q).sum() / 2 - 1e-12
