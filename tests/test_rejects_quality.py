@@ -174,7 +174,7 @@ def test_asof_and_interval(spark, bucket):
 def test_amounts_within_a_cell_are_found_at_every_size(spark, n):
     """Disjoint amounts that lie in one cell of the classifier: it is left at chance, but the cell leaves the change open."""
     sales = spark.range(2 * n).selectExpr(
-        "id AS sale_row", "1 + id % 2 AS load_id", "CAST(CASE WHEN id % 2 = 0 THEN 100.00 ELSE 102.00 END + (id % 199) / 100 AS decimal(38,2)) AS amount", "'EU' AS region", "true AS paid"
+        "id AS sale_row", "1 + id % 2 AS load_id", "CAST(CASE WHEN id % 2 = 0 THEN 100.00 ELSE 101.00 END + (id % 99) / 100 AS decimal(38,2)) AS amount", "'EU' AS region", "true AS paid"
     )
     loads = spark.createDataFrame([(1, "s"), (2, "s")], "load_id bigint, source string")
     got = quality.LoadQuality(sales, loads).report().collect()
