@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from quarrymill.model import ROW, Column, Policy, Schema, get_policy, schema_fro
 from quarrymill.operators import infer, joins, profile, validate
 from quarrymill.operators.validate import PROBLEM
 from quarrymill.plans import mapping, outputs, sandbox
-from quarrymill.session import table
-from quarrymill.sources.registry import read_table
+from quarrymill.session import scratch_path, table
+from quarrymill.sources.registry import read_source, read_table
 from quarrymill.streaming import inbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,10 +142,10 @@ def rule_allowed(spark, d):
     return _issues(read_table(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey"), _schema({"name": "o_orderstatus", "type": "string", "allowed": ["F", "O"]}))
 
 
-@query("""SELECT p_partkey AS row_id, 'p_name' AS column_name, 'max_length' AS rule, 'longer than 12 characters' AS message,
-    CASE WHEN len(p_name) > 40 THEN concat(p_name[1:37], '...') ELSE p_name END AS value FROM part WHERE len(p_name) > 12""")
+@query("""SELECT p_partkey AS row_id, 'p_name' AS column_name, 'max_length' AS rule, 'longer than 6 characters' AS message,
+    CASE WHEN len(p_name) > 40 THEN concat(p_name[1:37], '...') ELSE p_name END AS value FROM part WHERE len(p_name) > 6""")
 def rule_length(spark, d):
-    return _issues(read_table(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey"), _schema({"name": "p_name", "type": "string", "max_length": 12}))
+    return _issues(read_table(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey"), _schema({"name": "p_name", "type": "string", "max_length": 6}))
 
 
 @query("""SELECT p_partkey AS row_id, 'p_brand' AS column_name, 'pattern' AS rule, 'does not match the required pattern' AS message, p_brand AS value
@@ -363,6 +364,12 @@ def join_left(spark, d):
     return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 0")
+def join_right(spark, d):
+    s = table(spark, d, "supplier").where("s_acctbal > 0")
+    return s.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("s_suppkey", "n_name")
+
+
 @query("SELECT n_name, s_suppkey FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON n_nationkey = s_nationkey")
 def join_full(spark, d):
     s = table(spark, d, "supplier").where("s_acctbal > 0")
@@ -431,11 +438,6 @@ def hash_key_dedup(spark, d):
     return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT event_id, props ->> 'k' AS k FROM events")
-def json_flatten(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL")
 def tumbling_day_counts(spark, d):
     return inbox.day_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
@@ -463,3 +465,112 @@ def name_scores(spark, d):
     names = table(spark, d, "sales").columns
     pairs = [(s, t, name_score(s, t)) for s in ("Order No", "Buyer Email", "Area", "Total (EUR)", "Ordered On", "Paid?") for t in names]
     return spark.createDataFrame(pairs, "source string, target string, score double")
+
+
+# --- sources: files are written into the shared folder and read back by the engine's readers --------------------------------
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
+
+
+def _one_file(df: DataFrame, ending: str, form: str, **options) -> str:
+    """A table as a single file on the shared folder; for readers that take one file, which a driver opens by its path."""
+    import glob
+
+    folder = scratch_path(df.sparkSession, "file")
+    df.coalesce(1).write.options(**options).format(form).save(folder)
+    local = folder.removeprefix("file://")
+    (part,) = glob.glob(f"{local}/part-*")
+    os.rename(part, f"{local}/data{ending}")
+    return f"{local}/data{ending}"
+
+
+@query("SELECT row_number() OVER (ORDER BY sale_row) AS row_id, sale_row::VARCHAR AS sale_row, trim(region) AS region, amount::VARCHAR AS amount, paid::VARCHAR AS paid FROM sales")
+def source_csv(spark, d):
+    """Sales as a CSV file without quotes, read by all tasks: records are numbered in file order and cells are stripped. An empty cell stands for null here."""
+    rows = _texts(table(spark, d, "sales").select("sale_row", "region", "amount", "paid").orderBy("sale_row"))
+    raw, _ = read_source(spark, _one_file(rows.na.fill(""), ".csv", "csv", header=True, emptyValue="", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return raw.select(F.col(ROW).alias("row_id"), "sale_row", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in ("region", "amount", "paid")))
+
+
+@query("SELECT buyer_id::VARCHAR AS buyer_id, count(*) AS n, md5(string_agg(n, '|' ORDER BY n)) AS notes FROM (SELECT buyer_id, trim(coalesce(notes, '')) AS n FROM buyers) GROUP BY buyer_id")
+def source_csv_quoted(spark, d):
+    """Buyers as a CSV file with quotes, delimiters and line ends inside cells."""
+    rows = table(spark, d, "buyers").select(F.col("buyer_id").cast("string").alias("buyer_id"), F.coalesce(F.trim("notes"), F.lit("")).alias("notes"))
+    raw, _ = read_source(spark, _one_file(rows, ".csv", "csv", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    whole = F.array_join(F.sort_array(F.collect_list(F.trim("notes"))), "|")  # a few rows a buyer
+    return raw.groupBy("buyer_id").agg(F.count("*").alias("n"), F.md5(whole).alias("notes"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS row_id, event_id::VARCHAR AS event_id, event_type, props ->> 'k' AS k FROM events")
+def source_json_lines(spark, d):
+    """Events as JSON Lines with a nested object, flattened to dotted names."""
+    rows = table(spark, d, "events").orderBy("event_id").select("event_id", "event_type", F.struct(F.get_json_object("props", "$.k").alias("k")).alias("props"))
+    raw, _ = read_source(spark, _one_file(rows, ".jsonl", "json", ignoreNullFields=False))
+    return raw.select(F.col(ROW).alias("row_id"), "event_id", "event_type", F.col("`props.k`").alias("k"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def source_sql_dump(spark, d):
+    """Nations as a dump of SQL statements."""
+    rows = table(spark, d, "nation").select(F.format_string("INSERT INTO nation VALUES(%d,'%s');", "n_nationkey", "n_name").alias("value"))  # a fixed list
+    begin = spark.createDataFrame([("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT);",)], "value string")
+    raw, _ = read_source(spark, _one_file(begin.union(rows), ".sql", "text"))
+    return raw.select("n_nationkey", "n_name")
+
+
+@query(f"""SELECT sale_row AS row_id, 'amount' AS column_name, 'type' AS rule, '{plain.BAD_DECIMAL}' AS message, t AS value FROM (SELECT sale_row, CASE WHEN sale_row % 9 = 0 THEN amount::VARCHAR || ' EUR'
+    WHEN sale_row % 10 = 0 THEN concat('1,', sale_row) ELSE amount::VARCHAR END AS t FROM sales) WHERE t LIKE '% EUR' OR t LIKE '1,%'""")
+def type_issues(spark, d):
+    """Cells that are no decimals."""
+    text = F.expr("CASE WHEN sale_row % 9 = 0 THEN concat(CAST(amount AS string), ' EUR') WHEN sale_row % 10 = 0 THEN concat('1,', sale_row) ELSE CAST(amount AS string) END")
+    return _issues(read_table(table(spark, d, "sales").select("sale_row", text.alias("amount")), "sale_row"), _schema({"name": "amount", "type": "decimal", "scale": 2}))
+
+
+@query("SELECT region, paid::VARCHAR AS paid FROM sales WHERE amount IS NOT NULL AND region IS NOT NULL AND region <> '' AND paid IS NOT NULL AND amount >= 0")
+def personal_columns_pruned(spark, d):
+    """What metrics see where the policy masks: the personal columns are gone. Here the buyer's address and the amount are personal."""
+    schema = _schema(
+        {"name": "customer_email", "type": "string", "pii": True}, {"name": "amount", "type": "decimal", "scale": 2, "pii": True, "required": True, "min": 0},
+        {"name": "region", "type": "string", "required": True}, {"name": "paid", "type": "boolean", "required": True},
+    )
+    raw = read_table(table(spark, d, "sales").select("sale_row", *(c.name for c in schema.columns)), "sale_row")
+    seen = validate.engine_table(validate.validate(raw, schema, BUSINESS), schema, BUSINESS).drop(ROW)
+    return seen.select(*(F.col(c).cast("string").alias(c) for c in seen.columns))
+
+
+@query("SELECT text, refused FROM (VALUES " + ", ".join(f"('{t}', {r})" for t, r in (
+    ("SELECT count(*) FROM data", "false"), ("WITH a AS (SELECT 1 AS x) SELECT x FROM a", "false"), ("SELECT * FROM other", "true"), ("DROP TABLE data", "true"),
+    ("SELECT 1; SELECT 2", "true"), ("INSERT INTO data VALUES (1)", "true"), ("SELECT * FROM range(3)", "false"), ("SELECT java_method(1, 2) FROM data", "true"),
+)) + ") t(text, refused)")
+def sandbox_refusals(spark, d):
+    """Which statements a metric may consist of."""
+    from quarrymill.errors import MetricError
+
+    texts = (
+        "SELECT count(*) FROM data", "WITH a AS (SELECT 1 AS x) SELECT x FROM a", "SELECT * FROM other", "DROP TABLE data", "SELECT 1; SELECT 2", "INSERT INTO data VALUES (1)",
+        "SELECT * FROM range(3)", "SELECT java_method(1, 2) FROM data",
+    )
+    session = sandbox.isolated(spark, table(spark, d, "sales"))
+
+    def refused(text: str) -> bool:
+        try:
+            sandbox.check(session, text)
+        except MetricError:
+            return True
+        return False
+
+    return spark.createDataFrame([(t, refused(t)) for t in texts], "text string, refused boolean")
+
+
+_SHAPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[0-9]', '#', 'g'), '[a-z]+', 'a+', 'g'), '[A-Z]+', 'A+', 'g'), '#', '9', 'g')"
+
+
+@query(f"""SELECT shape, count(*) AS n FROM (SELECT regexp_replace(regexp_replace({_SHAPED.format(c="o_orderpriority")}, '9999', '9{{4}}'), '(^|[^9])99([^9]|$)', '\1' || '9{{2}}' || '\2', 'g') AS shape FROM orders) GROUP BY shape
+    UNION ALL SELECT regexp_replace(regexp_replace(strftime(o_orderdate, '%Y-%m-%d'), '^[0-9]{{4}}', '9{{4}}'), '-[0-9]{{2}}', '-9{{2}}', 'g'), count(*) FROM orders GROUP BY 1""")
+def shape_signatures(spark, d):
+    """Shapes of priorities (words, blanks, single digits) and of dates (runs of digits and marks)."""
+    o = table(spark, d, "orders")
+    texts = o.select(F.col("o_orderpriority").alias("t")).union(o.select(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return texts.select(shape(F.col("t")).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
