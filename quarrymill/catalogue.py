@@ -486,7 +486,7 @@ def _one_file(df: DataFrame, ending: str, form: str, **options) -> str:
     return f"{local}/data{ending}"
 
 
-@query("SELECT row_number() OVER (ORDER BY sale_row) AS row_id, sale_row::VARCHAR AS sale_row, trim(region) AS region, amount::VARCHAR AS amount, paid::VARCHAR AS paid FROM sales")
+@query("SELECT row_number() OVER (ORDER BY sale_row) AS row_id, sale_row::VARCHAR AS sale_row, nullif(trim(region), '') AS region, amount::VARCHAR AS amount, paid::VARCHAR AS paid FROM sales")
 def source_csv(spark, d):
     """Sales as a CSV file without quotes, read by all tasks: records are numbered in file order and cells are stripped. An empty cell stands for null here."""
     rows = _texts(table(spark, d, "sales").select("sale_row", "region", "amount", "paid").orderBy("sale_row"))
